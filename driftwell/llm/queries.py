@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import distinct_runs, frequent, top_items
+from driftwell.llm import distinct_runs, frequent, mixing, packing, top_items
 from driftwell.session import written
 from driftwell.sources.tables import day_of, table, tidy
 
@@ -113,6 +113,53 @@ _P4_SQL = """
     c AS (SELECT field, item, count(*) AS n_rows FROM v GROUP BY ALL)
 """
 
+# --- 6: filling fixed-capacity containers with items --------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    split = _packed(spark, d).where((F.col("part_no") == 0) & (F.col("n_tokens") > packing.CAPACITY))
+    return split.select(F.col("item_id").alias("doc_id"))
+
+
+def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("item_id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+# --- 7: mixing sources to target weights --------------------------------------------------------------------------
+
+#: Forge commits fade out while teaching material and notes grow towards the end of training.
+CURRICULUM = {
+    "forge-a": [(0.0, 1.5), (1.0, 0.5)],
+    "forge-b": [(0.0, 1.2), (0.5, 1.2), (1.0, 0.4)],
+    "teaching": [(0.0, 0.2), (0.6, 0.8), (1.0, 2.4)],
+    "wiki-notes": [(0.0, 0.0), (1.0, 2.0)],
+}
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), F.col("doc_id"), F.col("source"), F.col("text"), table(spark, d, "mix_target"), CURRICULUM)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixing_report(*_mixed(spark, d)).where(~F.col("reachable")).select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixing_report(*_mixed(spark, d))
+
+
+def p7_training_order(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.in_training_order(_mixed(spark, d)[0])
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_distinct": p2_distinct,
@@ -120,6 +167,12 @@ QUERIES = {
     "p3_top10_bids": p3_top10_bids,
     "p4_found": p4_found,
     "p4_top10": p4_top10,
+    "p6_found": p6_found,
+    "p6_assignment": p6_assignment,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+    "p7_training_order": p7_training_order,
 }
 
 SQL = {
