@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ _own_folders: dict[str, str] = {}
 #: (session, path) of every folder this process wrote below a shared folder.
 _written: list[tuple[SparkSession, str]] = []
 
+#: Applications whose workers have this package.
+_shipped: set[str] = set()
+
 #: Rows a side may have at most to be broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -49,6 +54,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+def with_package(df: DataFrame) -> DataFrame:
+    """*df*, after this package was sent to the Python workers of its session (once per application)."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.join(tempfile.mkdtemp(prefix="driftwell-"), f"{os.path.basename(root)}.zip")
+        with zipfile.ZipFile(name, "w") as bundle:
+            for folder, _, files in os.walk(root):
+                for file in files:
+                    if file.endswith(".py"):
+                        path = os.path.join(folder, file)
+                        bundle.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(name)
+        _shipped.add(context.applicationId)
+    return df
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the process ends."""
     path = f"{shared_folder(spark)}/driftwell-{uuid.uuid4().hex}/{name}"
