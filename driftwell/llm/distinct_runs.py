@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftwell.session import with_package
+
 #: Rows a map task gathers before it cuts runs.
 BUFFER_ROWS = 1 << 19
 #: Rows of a group per shard aimed at.
@@ -159,7 +161,7 @@ def partial_runs(df: DataFrame, group: dict[str, Column], measures: dict[str, Co
         if gathered:
             yield runs(gathered)
 
-    return rows.mapInArrow(task, schema)
+    return with_package(rows).mapInArrow(task, schema)
 
 
 def merge_runs(runs: DataFrame, group: list[str], bits: int) -> DataFrame:
@@ -186,7 +188,7 @@ def merge_runs(runs: DataFrame, group: list[str], bits: int) -> DataFrame:
         values = [*[table.column(c)[0].as_py() for c in [*group, "measure", "shard"]], len(united), encode_run(united)]
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(values, arrow.types)], schema=arrow)
 
-    cut = runs.select(*keys, "n", "run")
+    cut = with_package(runs).select(*keys, "n", "run")
     if bits:
         cut = cut.mapInArrow(finer, schema)
     return cut.groupBy(*keys).applyInArrow(unite, schema)

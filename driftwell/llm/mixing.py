@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.tokens import TOKENIZER, n_tokens
-from driftwell.session import broadcast_if_small, written
+from driftwell.session import broadcast_if_small, with_package, written
 
 #: Documents per bucket aimed at.
 BUCKET_ROWS = 20_000
@@ -34,7 +34,7 @@ def source_name(column: Column) -> Column:
 
 def token_table(df: DataFrame, doc_id: Column, source: Column, text: Column, tokenizer: str = TOKENIZER) -> DataFrame:
     """Written table doc_id, source, n_tokens of all documents."""
-    return written(df.select(doc_id.alias("doc_id"), source_name(source).alias("source"), n_tokens(text, tokenizer).alias("n_tokens")), "tokens")
+    return written(with_package(df).select(doc_id.alias("doc_id"), source_name(source).alias("source"), n_tokens(text, tokenizer).alias("n_tokens")), "tokens")
 
 
 def curves(schedule: dict[str, list[tuple[float, float]]] | None) -> dict[str, list[tuple[float, float, float, float, float]]]:

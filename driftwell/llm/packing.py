@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.tokens import TOKENIZER, counter
-from driftwell.session import broadcast_if_small, written
+from driftwell.session import broadcast_if_small, with_package, written
 
 CAPACITY = 2048
 OPEN_WINDOWS = 64
@@ -83,7 +83,7 @@ def _packed(df: DataFrame, item_id: Column, text: Column, capacity: int, open_wi
         left = [[None] * len(windows.open)] * 4 + [[w for _, w in windows.open], [r for r, _ in windows.open]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in left], schema=_ARROW)
 
-    return df.select(item_id.cast("long"), text).mapInArrow(task, _SCHEMA)
+    return with_package(df).select(item_id.cast("long"), text).mapInArrow(task, _SCHEMA)
 
 
 _MERGE_SCHEMA = "task long, container long, used long, members array<long>, open boolean"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.llm import distinct_runs, frequent, mixing, packing, top_items
+from driftwell.llm import distinct_runs, frequent, mixing, packing, reading, top_items
 from driftwell.session import written
 from driftwell.sources.tables import day_of, table, tidy
 
@@ -160,6 +160,26 @@ def p7_training_order(spark: SparkSession, d: str) -> DataFrame:
     return mixing.in_training_order(_mixed(spark, d)[0])
 
 
+# --- 8: reading level of each document ----------------------------------------------------------------------------
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where(F.col("n_above") >= 2).select("doc_id")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences per level."""
+    return _levels(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"), F.avg("formula").alias("mean_formula"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_distinct": p2_distinct,
@@ -173,6 +193,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_training_order": p7_training_order,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
+    "p8_profile": p8_profile,
 }
 
 SQL = {

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftwell.session import file_system, slots, work_path
+from driftwell.session import file_system, slots, with_package, work_path
 
 #: Bytes of a row group aimed at: the unit that is read or skipped.
 ROW_GROUP_BYTES = 1 << 20
@@ -112,7 +112,7 @@ def top_items(df: DataFrame, group: Column, score: Column, ties: dict[str, Colum
                             yield from table.cast(arrow).to_batches()
 
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)))
-    best = listed.mapInArrow(task, schema)
+    best = with_package(listed).mapInArrow(task, schema)
     order = [F.col("__score").desc(), *[F.col(c).asc_nulls_last() for c in best.columns[2:]]]
     ranked = best.withColumn("rank_no", F.row_number().over(Window.partitionBy("__group").orderBy(*order)).cast("long")).where(F.col("rank_no") <= n)
     return ranked.select(F.col("__group").alias(group_name), "rank_no", F.col("__score").alias(score_name), *[F.col(f"__t{i}").alias(c) for i, c in enumerate(ties)])
