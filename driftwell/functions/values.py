@@ -25,7 +25,7 @@ _LOW, _HIGH = -(2.0**63), 2.0**63
 
 def kind_of(data_type: T.DataType) -> str:
     """int, real, decimal, text, blob, bool, time, dyn (a cell) or other (carried along only)."""
-    if data_type == CELL:
+    if data_type.simpleString() == CELL.simpleString():
         return "dyn"
     for types, kind in (((T.ByteType, T.ShortType, T.IntegerType, T.LongType), "int"), ((T.FloatType, T.DoubleType), "real"), (T.DecimalType, "decimal"), (T.StringType, "text"), (T.BinaryType, "blob"), (T.BooleanType, "bool"), ((T.DateType, T.TimestampType, T.TimestampNTZType), "time")):
         if isinstance(data_type, types):
