@@ -1,0 +1,118 @@
+import pytest
+
+from driftwell.plans.errors import UnknownTable, UnsupportedView
+from driftwell.plans.sqlfront import parse_view
+
+TABLES = {"t": ("t", ["k", "v", "x"]), "u": ("u", ["k", "w"])}
+
+
+def parse(sql):
+    return parse_view(sql, lambda name: TABLES.get(name.lower()))
+
+
+REFUSED = [
+    ("SELECT k FROM t", "GROUP BY"),
+    ("SELECT COUNT(*) FROM t", "global aggregates"),
+    ("SELECT k FROM t GROUP BY k", "without aggregates"),
+    ("SELECT * FROM t GROUP BY k", "SELECT *"),
+    ("SELECT t.*, COUNT(*) FROM t GROUP BY k", "SELECT *"),
+    ("SELECT DISTINCT k, COUNT(*) FROM t GROUP BY k", "DISTINCT"),
+    ("SELECT k, COUNT(DISTINCT v) FROM t GROUP BY k", "DISTINCT inside"),
+    ("SELECT k, SUM(ALL v) FROM t GROUP BY k", "ALL inside"),
+    ("SELECT k, SUM(v + 1) FROM t GROUP BY k", "expression"),
+    ("SELECT k, SUM(*) FROM t GROUP BY k", "SUM(*)"),
+    ("SELECT k, COUNT(*) FILTER (WHERE v > 1) FROM t GROUP BY k", "FILTER"),
+    ("SELECT k, COUNT(*) OVER () FROM t GROUP BY k", "OVER"),
+    ("SELECT k, group_concat(v) FROM t GROUP BY k", "group_concat"),
+    ("SELECT k, MAX(v, x) FROM t GROUP BY k", "several arguments"),
+    ("SELECT k, upper(k), COUNT(*) FROM t GROUP BY k", "upper"),
+    ("SELECT k + 1, COUNT(*) FROM t GROUP BY k", "expressions in SELECT"),
+    ("SELECT k, COUNT(*), v FROM t GROUP BY k, v", "before the aggregates"),
+    ("SELECT k, k, COUNT(*) FROM t GROUP BY k", "twice"),
+    ("SELECT k, v, COUNT(*) FROM t GROUP BY k", "not in GROUP BY"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k, v", "not selected"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k, k", "twice in GROUP BY"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY 1", "bare columns"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k + 1", "bare columns"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY ALL", "GROUP BY ALL"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY ROLLUP(k)", "ROLLUP"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY CUBE(k)", "CUBE"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY GROUPING SETS ((k))", "GROUPING"),
+    ("SELECT k, COUNT(*) FROM t WHERE v > 1 AND v < 3 GROUP BY k", "AND"),
+    ("SELECT k, COUNT(*) FROM t WHERE v > 1 OR v < 3 GROUP BY k", "OR"),
+    ("SELECT k, COUNT(*) FROM t WHERE NOT v > 1 GROUP BY k", "NOT"),
+    ("SELECT k, COUNT(*) FROM t WHERE v LIKE 'a' GROUP BY k", "LIKE"),
+    ("SELECT k, COUNT(*) FROM t WHERE v IN (1) GROUP BY k", "IN"),
+    ("SELECT k, COUNT(*) FROM t WHERE v BETWEEN 1 AND 2 GROUP BY k", "BETWEEN"),
+    ("SELECT k, COUNT(*) FROM t WHERE v = x GROUP BY k", "two columns"),
+    ("SELECT k, COUNT(*) FROM t WHERE v = NULL GROUP BY k", "IS NULL"),
+    ("SELECT k, COUNT(*) FROM t WHERE v > (SELECT 1) GROUP BY k", "subquery"),
+    ("SELECT k, COUNT(*) FROM t WHERE v + 1 > 2 GROUP BY k", "expressions in WHERE"),
+    ("SELECT k, COUNT(*) FROM t WHERE v > 1L GROUP BY k", "suffix"),
+    ("SELECT k, COUNT(*) FROM t WHERE v > x'1' GROUP BY k", "blob"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k HAVING COUNT(*) > 1", "HAVING"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k ORDER BY k", "ORDER BY"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k LIMIT 1", "LIMIT"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k UNION SELECT k, 1 FROM t", "UNION"),
+    ("SELECT k, COUNT(*) FROM t GROUP BY k; SELECT 1", "one statement"),
+    ("WITH a AS (SELECT 1) SELECT k, COUNT(*) FROM a GROUP BY k", "WITH"),
+    ("VALUES (1)", "VALUES"),
+    ("DELETE FROM t", "one SELECT"),
+    ("SELECT k, COUNT(*) FROM t, u GROUP BY k", "several tables"),
+    ("SELECT k, COUNT(*) GROUP BY k", "without FROM"),
+    ("SELECT k, COUNT(*) FROM (SELECT 1) GROUP BY k", "subquery in FROM"),
+    ("SELECT k, COUNT(*) FROM f(1) GROUP BY k", "table function"),
+    ("SELECT k, COUNT(*) FROM main.t GROUP BY k", "schema-qualified"),
+    ("SELECT t.k, COUNT(*) FROM t LEFT JOIN u ON t.k = u.k GROUP BY t.k", "LEFT JOIN"),
+    ("SELECT t.k, COUNT(*) FROM t CROSS JOIN u GROUP BY t.k", "CROSS JOIN"),
+    ("SELECT t.k, COUNT(*) FROM t NATURAL JOIN u GROUP BY t.k", "NATURAL JOIN"),
+    ("SELECT t.k, COUNT(*) FROM t JOIN u USING (k) GROUP BY t.k", "USING"),
+    ("SELECT t.k, COUNT(*) FROM t JOIN u GROUP BY t.k", "without ON"),
+    ("SELECT t.k, COUNT(*) FROM t JOIN u ON t.k > u.k GROUP BY t.k", "equality"),
+    ("SELECT t.k, COUNT(*) FROM t JOIN u ON t.k = 1 GROUP BY t.k", "equality"),
+    ("SELECT t.k, COUNT(*) FROM t JOIN u ON t.k = t.v GROUP BY t.k", "each table"),
+    ("SELECT t.k, COUNT(*) FROM t JOIN u ON t.k = u.k AND v = w GROUP BY t.k", "several conditions"),
+    ("SELECT a.k, COUNT(*) FROM t a JOIN t b ON a.k = b.k GROUP BY a.k", "self-join"),
+    ("SELECT t.k, COUNT(*) FROM t JOIN u ON t.k = u.k JOIN t x ON x.k = u.k GROUP BY t.k", "more than two"),
+    ("SELECT k, COUNT(*) FROM t JOIN u ON t.k = u.k GROUP BY k", "ambiguous"),
+    ("SELECT z, COUNT(*) FROM t GROUP BY z", "no such column: z"),
+    ("SELECT q.k, COUNT(*) FROM t GROUP BY q.k", "no such table in the query"),
+    ("SELECT k, COUNT(*) AS K FROM t GROUP BY k", "duplicate output"),
+    ("SELECT k AS rowid, COUNT(*) FROM t GROUP BY k", "rowid"),
+    ("SELECT k, COUNT(*) AS __dw_x FROM t GROUP BY k", "reserved"),
+    ("SELECT k, COUNT(*) FROM t TABLESAMPLE (1) GROUP BY k", "TABLESAMPLE"),
+]
+
+
+@pytest.mark.parametrize("sql,message", REFUSED)
+def test_refusals_are_named(sql, message):
+    with pytest.raises(UnsupportedView) as caught:
+        parse(sql)
+    assert message in str(caught.value)
+
+
+def test_unknown_table():
+    with pytest.raises(UnknownTable, match="no such table: nope"):
+        parse("SELECT k, COUNT(*) FROM nope GROUP BY k")
+
+
+def test_names_and_flips():
+    spec = parse("select a.K as g, count( * ), Sum(a.v) s, MIN( w ) from T as a inner join u on (u.k) = a.k where 3 < a.v group by a.k;")
+    assert spec.outputs == ["g", "count( * )", "s", "MIN( w )"]
+    assert spec.tables == ("t", "u") and spec.join[0].side == 0 and spec.join[1].side == 1
+    assert (spec.predicate.op, spec.predicate.literal) == (">", ("int", 3))
+
+
+def test_quoted_names_literals_and_comments():
+    spec = parse('SELECT "k", COUNT([v]) /* n */ FROM `t` WHERE (x <> \'it\'\'s\') GROUP BY k -- end')
+    assert spec.predicate.literal == ("text", "it's") and spec.aggregates[0].output == "COUNT([v])"
+    assert parse("SELECT k, COUNT(*) FROM t WHERE v = X'0aFf' GROUP BY k").predicate.literal == ("blob", "0aff")
+    assert parse("SELECT k, COUNT(*) FROM t WHERE v >= -.5e1 GROUP BY k").predicate.literal == ("real", -5.0)
+    assert parse("SELECT k, COUNT(*) FROM t WHERE v = 9223372036854775808 GROUP BY k").predicate.literal == ("real", 2.0**63)
+    assert parse("SELECT k, COUNT(*) FROM t WHERE v IS NOT NULL GROUP BY k").predicate.op == "is_not_null"
+
+
+def test_fingerprint_ignores_spelling_only():
+    a = parse("SELECT k, COUNT(*) AS n FROM t GROUP BY k").fingerprint()
+    assert a == parse("select t.k, count(*) n from t group by (k)").fingerprint()
+    assert a != parse("SELECT k, COUNT(v) AS n FROM t GROUP BY k").fingerprint()
