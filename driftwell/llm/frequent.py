@@ -58,6 +58,25 @@ def most_frequent(df: DataFrame, row_id: Column, fields: dict[str, Column], k: i
     ranked = partial.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(F.col("s").desc(), "h"))).where(F.col("r") <= k)
     bounds = {r["field"]: r["t"] for r in ranked.groupBy("field").agg(F.min("s").alias("t"), F.count(F.lit(1)).alias("n")).collect() if r["n"] == k}
     limits = {f: max(least, bounds.get(f, 1)) for f in names}
+    resolved, shared = _settled(df, row_id, fields, valued, limits, m)
+    if shared:  # sums of values that share a hash may have set the bound too high
+        kth = _ranked(resolved, k).groupBy("field").agg(F.min("n_rows").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+        exact = {r["field"]: r["t"] for r in kth if r["n"] == k}
+        lower = {f: max(least, min(limits[f], exact.get(f, 1))) for f in names}
+        if lower != limits:
+            resolved, _ = _settled(df, row_id, fields, valued, lower, m)
+    top = _ranked(resolved.where(F.col("n_rows") >= F.lit(least)), k)
+    return top.select("field", "item", "n_rows", F.lit(total).cast("long").alias("of_rows"))
+
+
+def _ranked(resolved: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("field").orderBy(F.col("n_rows").desc(), "item")
+    return resolved.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+
+
+def _settled(df: DataFrame, row_id: Column, fields: dict[str, Column], valued: DataFrame, limits: dict[str, int], m: int) -> tuple[DataFrame, bool]:
+    """Phases 2 and 3 for given bounds: field, h, item, n_rows of every value that may reach them; whether values share a hash."""
+    names = list(fields)
     limit = F.create_map(*[x for f in names for x in (F.lit(f), F.lit(limits[f]))])[F.col("field")]
 
     # phase 2
@@ -72,13 +91,11 @@ def most_frequent(df: DataFrame, row_id: Column, fields: dict[str, Column], k: i
     # values of the hashes
     source = df.select(row_id.alias("__id"), *[c.alias(f"__v{i}") for i, c in enumerate(fields.values())])
     values = _stacked(source, names, "__v", "item").where(F.col("item").isNotNull()).withColumn("h", F.xxhash64("item"))
-    small = broadcast_if_small(exact)
-    resolved = written(values.select("field", "h", "item").join(small, ["field", "h"]).groupBy("field", "h", "item").agg(F.first("n_rows").alias("n_rows")), "frequent_values")
+    found = values.select("field", "h", "item").join(broadcast_if_small(exact), ["field", "h"])
+    resolved = written(found.groupBy("field", "h", "item").agg(F.first("n_rows").alias("n_rows")), "frequent_values")
     shared = resolved.groupBy("field", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("field", "h")
-    if shared.limit(1).count():
-        again = values.join(broadcast_if_small(shared), ["field", "h"]).select("__id", "field", "h", "item").dropDuplicates()
-        recounted = again.groupBy("field", "h", "item").agg(F.count(F.lit(1)).alias("n_rows"))
-        resolved = resolved.join(shared, ["field", "h"], "left_anti").unionByName(recounted).where(F.col("n_rows") >= F.lit(least))
-    order = Window.partitionBy("field").orderBy(F.col("n_rows").desc(), "item")
-    top = resolved.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    return top.select("field", "item", "n_rows", F.lit(total).cast("long").alias("of_rows"))
+    if not shared.limit(1).count():
+        return resolved, False
+    again = values.join(broadcast_if_small(shared), ["field", "h"]).select("__id", "field", "h", "item").dropDuplicates()
+    recounted = again.groupBy("field", "h", "item").agg(F.count(F.lit(1)).alias("n_rows"))
+    return resolved.join(shared, ["field", "h"], "left_anti").unionByName(recounted), True
