@@ -17,6 +17,7 @@ import copy
 import json
 import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from driftwell.operators.zset import W
 from driftwell.plans.errors import BrokenView, IllegalChange, StateError, SumOverflow, UnknownTable, UnsupportedView, ViewError
 from driftwell.plans.sqlfront import PREFIX, parse_view
 from driftwell.plans.viewspec import FORMAT, Predicate, ViewSpec
-from driftwell.session import broadcast_if_small, with_package, work_path
+from driftwell.session import broadcast_if_small, slots, with_package, work_path
 from driftwell.sources import changelog
 from driftwell.plans.store import Store
 
@@ -290,7 +291,9 @@ class Engine:
         """Write one part by bucket; gives {bucket: path} of what was written (dirty buckets without rows are absent)."""
         path = self.store.fresh(f"{name}-{part}")
         bucketed = df if layout is None else df.withColumn("__b", self._bucket(layout))
-        bucketed.repartition(F.col("__b")).write.partitionBy("__b").parquet(path)
+        per = max(1, slots(self.spark) // self.buckets)  # a bucket is written by several tasks where there are more tasks than buckets
+        spread = [F.pmod(F.hash(*[F.col(f"`{c}`") for c in bucketed.columns if c != "__b"]), F.lit(per))] if per > 1 else []
+        bucketed.repartition(F.col("__b"), *spread).write.partitionBy("__b").parquet(path)
         found = [c for c in self.store.children(path) if c.startswith("__b=")]
         return {c[4:]: f"{path}/{c}" for c in found}
 
@@ -328,7 +331,8 @@ class Engine:
             dirty = sorted(r[0] for r in rows.select(*keys).select(self._bucket(layout).alias("b")).distinct().collect())  # at most self.buckets
         if bootstrap or dirty:
             state = {}
-            for part in layout.parts:
+
+            def settle(part: str) -> None:
                 merged = delta[part] if bootstrap else merge(layout, part, self._read_part(view, part, dirty), delta[part])
                 if part != "groups":
                     weight = "m" if part == "exact" else "w"
@@ -341,6 +345,9 @@ class Engine:
                 new["parts"][part] = held | made
                 state[part] = self._read_part(new, part, dirty)
                 self._check_faults(layout, part, state[part])
+
+            with ThreadPoolExecutor(len(layout.parts)) as pool:  # the parts are independent jobs
+                list(pool.map(settle, layout.parts))
             output = with_package(finalize(layout, state))
             new["schemas"]["out"] = self._stored_schema(output)
             canonical = [values.canonical(F.col(f"`{n}`"), kind) for (_, n), kind in zip(spec.keys, layout.key_kinds)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -98,8 +99,8 @@ def _remove_written() -> None:
         try:
             fs, at = file_system(spark, path)
             fs.delete(at, True)
-        except Exception:  # the session or its JVM has ended
-            return
+        except Exception:  # the session or its JVM has ended: only a local folder can still be removed
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

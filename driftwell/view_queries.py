@@ -20,7 +20,8 @@ from driftwell.sources.tables import table
 from driftwell.streaming.adapter import capture
 
 BUCKETS = 4
-Wrong = dict[str, Column]
+#: False values by column, as SQL or as columns.
+Wrong = dict[str, str | Column]
 
 
 def _history(df: DataFrame, wrong: Wrong) -> tuple[DataFrame, list[DataFrame]]:
@@ -28,7 +29,7 @@ def _history(df: DataFrame, wrong: Wrong) -> tuple[DataFrame, list[DataFrame]]:
     part = F.pmod(F.xxhash64(*df.columns), F.lit(10))
     rows = df.withColumn("__p", part)
     these = lambda *p: rows.where(F.col("__p").isin(*p)).drop("__p")
-    false = lambda *p: these(*p).withColumns(wrong)
+    false = lambda *p: these(*p).withColumns({c: F.expr(x) if isinstance(x, str) else x for c, x in wrong.items()})
     first = union(these(1, 2, 3, 4, 5, 6, 7), false(0))
     fixed = union(weighted(these(8)), weighted(false(0), -1), weighted(these(0)))
     passing = union(weighted(these(9)), weighted(false(1)))
@@ -56,10 +57,10 @@ def _run(spark: SparkSession, tables: dict[str, tuple[DataFrame, Wrong]], sql: s
     return engine.table("v")
 
 
-_ORDERS: Wrong = {"o_orderstatus": F.lit("?"), "o_custkey": F.col("o_custkey") + 1_000_000, "o_totalprice": F.col("o_totalprice") * 1000}
-_ITEMS: Wrong = {"l_returnflag": F.concat("l_returnflag", F.lit("?")), "l_quantity": F.col("l_quantity") + 0.125}
-_EVENTS: Wrong = {"event_type": F.lit("?"), "value": F.col("value") * -1e15, "user_id": F.col("user_id") + 500}
-_CUSTOMERS: Wrong = {"c_mktsegment": F.lit("?")}
+_ORDERS: Wrong = {"o_orderstatus": "'?'", "o_custkey": "o_custkey + 1000000", "o_totalprice": "o_totalprice * 1000"}
+_ITEMS: Wrong = {"l_returnflag": "concat(l_returnflag, '?')", "l_quantity": "l_quantity + 0.125D"}
+_EVENTS: Wrong = {"event_type": "'?'", "value": "value * -1e15D", "user_id": "user_id + 500"}
+_CUSTOMERS: Wrong = {"c_mktsegment": "'?'"}
 
 
 def _orders(sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -85,7 +86,7 @@ def _with_nulls(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NULLS = "(SELECT event_id, nullif(user_id, 7) AS user_id, event_type, CASE WHEN event_type <> 'click' THEN value END AS value FROM events)"
-_NULLS_WRONG: Wrong = {"event_type": F.lit("?"), "value": F.lit(None).cast("double")}
+_NULLS_WRONG: Wrong = {"event_type": "'?'", "value": "CAST(NULL AS DOUBLE)"}
 
 
 def _nulls(sql: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -5,7 +5,7 @@ from driftwell.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false", "spark.default.parallelism": "4"})
+    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false", "spark.default.parallelism": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,4 +1,6 @@
 import importlib
+import subprocess
+import sys
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -9,6 +11,11 @@ def test_every_sql_has_a_query_and_the_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_names_can_be_read_without_a_session():
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 40)"], capture_output=True, text=True)
+    assert done.stdout.strip() == "True", done.stderr
+
+
 def test_the_core_needs_no_subpackage():
     import ast
     import pathlib

@@ -5,7 +5,8 @@ from driftwell import session
 
 
 def test_shared_folder_is_read_from_the_session(spark, monkeypatch, tmp_path):
-    assert session.shared_folder(spark).startswith("file:///")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.shared_folder(spark) == (configured.rstrip("/") if configured else session.shared_folder(spark))
 
     class Conf:
         def __init__(self, value):
@@ -17,9 +18,10 @@ def test_shared_folder_is_read_from_the_session(spark, monkeypatch, tmp_path):
     class Fake:
         def __init__(self, value, master):
             self.conf = Conf(value)
-            self.sparkContext = type("C", (), {"master": master, "applicationId": "other"})()
+            self.sparkContext = type("C", (), {"master": master, "applicationId": f"other-{master}"})()
 
     assert session.shared_folder(Fake("hdfs://x/shared/", "yarn")) == "hdfs://x/shared"
+    assert session.shared_folder(Fake(None, "local[2]")).startswith("file:///")
     for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
         with pytest.raises(session.SharedFolderMissing):
             session.shared_folder(Fake(None, master))
