@@ -16,10 +16,11 @@ from __future__ import annotations
 import copy
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +30,13 @@ from driftwell.operators.aggregates import Layout, faults, finalize, merge, part
 from driftwell.operators.zset import W
 from driftwell.plans.errors import BrokenView, IllegalChange, StateError, SumOverflow, UnknownTable, UnsupportedView, ViewError
 from driftwell.plans.sqlfront import PREFIX, parse_view
+from driftwell.plans.store import Store
 from driftwell.plans.viewspec import FORMAT, Predicate, ViewSpec
 from driftwell.session import broadcast_if_small, slots, with_package, work_path
 from driftwell.sources import changelog
-from driftwell.plans.store import Store
 
+#: Views refresh_all works on side by side.
+VIEWS_AT_ONCE = 8
 _SUMMABLE = ("int", "bool", "real", "decimal", "text", "blob", "dyn")
 
 
@@ -284,14 +287,11 @@ class Engine:
         rows = zset.delta_join(small[0], s_old, r_new, small[1], *self._join_keys(spec, schemas))
         return self._rows(spec, layout, schemas, rows)
 
-    def _bucket(self, layout: Layout) -> Column:
-        return F.pmod(F.xxhash64(*layout.keys), F.lit(self.buckets)).cast("int")
-
-    def _write_part(self, part: str, df: DataFrame, layout: Layout | None, name: str, dirty: list[int] | None) -> dict[str, str]:
-        """Write one part by bucket; gives {bucket: path} of what was written (dirty buckets without rows are absent)."""
+    def _write_part(self, part: str, df: DataFrame, keys: list[Column], name: str, buckets: int) -> dict[str, str]:
+        """Write one part by bucket of its group keys; gives {bucket: path} of what was written (buckets without rows are absent)."""
         path = self.store.fresh(f"{name}-{part}")
-        bucketed = df if layout is None else df.withColumn("__b", self._bucket(layout))
-        per = max(1, slots(self.spark) // self.buckets)  # a bucket is written by several tasks where there are more tasks than buckets
+        bucketed = df.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        per = max(1, slots(self.spark) // buckets)  # a bucket is written by several tasks where there are more tasks than buckets
         spread = [F.pmod(F.hash(*[F.col(f"`{c}`") for c in bucketed.columns if c != "__b"]), F.lit(per))] if per > 1 else []
         bucketed.repartition(F.col("__b"), *spread).write.partitionBy("__b").parquet(path)
         found = [c for c in self.store.children(path) if c.startswith("__b=")]
@@ -306,57 +306,73 @@ class Engine:
     def _stored_schema(self, df: DataFrame) -> str:
         return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name != "__b"]).json()
 
-    def _check_faults(self, layout: Layout, part: str, state: DataFrame) -> None:
-        found = faults(layout, part, state)
+    def _watched(self, layout: Layout, part: str, state: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], None]]:
+        """*state*, and a check of what was seen while it was written: impossible or overflown entries raise.
+
+        Spark drops the watch from a plan it finds empty; the check then looks at what was written.
+        """
+        found = [(message, count.alias(f"f{i}")) for i, (message, count) in enumerate(faults(layout, part).items())]
         if not found:
-            return
-        row = state.agg(*[c.alias(f"f{i}") for i, c in enumerate(found.values())]).first()
-        for i, message in enumerate(found):
-            if row[i]:
-                raise (SumOverflow if "overflow" in message else StateError)(message)
+            return state, lambda stored: None
+        seen = Observation()
+        watched = state.observe(seen, *[c for _, c in found])
+
+        def check(stored: DataFrame) -> None:
+            try:
+                counts = seen.get
+            except Py4JJavaError:
+                counts = {}
+            if len(counts) < len(found):
+                counts = stored.agg(*[c for _, c in found]).first().asDict()
+            for i, (message, _) in enumerate(found):
+                if counts[f"f{i}"]:
+                    raise (SumOverflow if "overflow" in message else StateError)(message)
+
+        return watched, check
 
     def _advance(self, name: str, view: dict, spec: ViewSpec, layout: Layout, schemas: list[T.StructType], bootstrap: bool) -> dict:
         """The view's entry after all changes up to now; nothing is visible before it is committed."""
         new = copy.deepcopy(view)
         heads = {t: changelog.head(self._table(t)[1]) for t in spec.tables}
         dirty: list[int] | None = None
+        buckets = view["buckets"]
+        keys = [F.col(k) for k in layout.keys]
+        path = ""
         if bootstrap:
             delta = partial(layout, self._bootstrap_rows(spec, layout, schemas))
         else:
-            path = self.store.fresh(f"{name}-delta")
-            self._delta_rows(spec, layout, schemas, view["applied"]).write.parquet(path)
-            rows = self.spark.read.parquet(path)
-            delta = partial(layout, rows)
-            keys = [values.canonical(F.col(k), kind).alias(k) for k, kind in zip(layout.keys, layout.key_kinds)]
-            dirty = sorted(r[0] for r in rows.select(*keys).select(self._bucket(layout).alias("b")).distinct().collect())  # at most self.buckets
+            rows = self._delta_rows(spec, layout, schemas, view["applied"])
+            canonical = [values.canonical(F.col(k), kind) for k, kind in zip(layout.keys, layout.key_kinds)]
+            touched = self._write_part("delta", rows, canonical, name, buckets)
+            dirty = sorted(map(int, touched))
+            if touched:
+                path = next(iter(touched.values())).rsplit("/", 1)[0]
+                delta = partial(layout, self.spark.read.schema(rows.schema).parquet(*touched.values()))
         if bootstrap or dirty:
             state = {}
 
             def settle(part: str) -> None:
                 merged = delta[part] if bootstrap else merge(layout, part, self._read_part(view, part, dirty), delta[part])
-                if part != "groups":
-                    weight = "m" if part == "exact" else "w"
-                    merged = merged.where(F.col(weight) != 0)
-                elif bootstrap:
-                    merged = merged.where(F.col("rows") != 0)
+                weight = {"groups": "rows", "exact": "m"}.get(part, "w")
+                merged = merged.where(F.col(weight) != 0) if bootstrap or part != "groups" else merged
                 new["schemas"][part] = self._stored_schema(merged)
-                made = self._write_part(part, merged, layout, name, dirty)
+                watched, check = self._watched(layout, part, merged)
+                made = self._write_part(part, watched, keys, name, buckets)
                 held = {} if bootstrap else {b: p for b, p in view["parts"][part].items() if int(b) not in dirty}
                 new["parts"][part] = held | made
                 state[part] = self._read_part(new, part, dirty)
-                self._check_faults(layout, part, state[part])
+                check(state[part])
 
             with ThreadPoolExecutor(len(layout.parts)) as pool:  # the parts are independent jobs
                 list(pool.map(settle, layout.parts))
             output = with_package(finalize(layout, state))
             new["schemas"]["out"] = self._stored_schema(output)
             canonical = [values.canonical(F.col(f"`{n}`"), kind) for (_, n), kind in zip(spec.keys, layout.key_kinds)]
-            by_bucket = output.withColumn("__b", F.pmod(F.xxhash64(*canonical), F.lit(self.buckets)).cast("int"))
-            made = self._write_part("out", by_bucket, None, name, dirty)
+            made = self._write_part("out", output, canonical, name, buckets)
             held = {} if bootstrap else {b: p for b, p in view["parts"]["out"].items() if int(b) not in dirty}
             new["before"] = {} if bootstrap else view["parts"]["out"]
             new["parts"]["out"] = held | made
-        if not bootstrap:
+        if path:
             self.store.remove(path)
         new["applied"] = heads
         return new
@@ -415,40 +431,37 @@ class Engine:
         known, view, *rest = self._sound(name)
         if not self._stale(view):
             return False
-        self._using(view)
         new = self._advance(known, view, *rest, bootstrap=False)
         self._commit(lambda m: m["views"].__setitem__(known, new))
         return True
 
-    def _using(self, view: dict) -> None:
-        self.buckets = view["buckets"]
-
     def refresh_all(self, mode: str = "atomic") -> int | str:
         """Refresh every view. 'atomic': all or none, gives how many were refreshed. 'continue': each on its own, gives a report."""
         if mode not in ("atomic", "continue"):
             raise ViewError(f"refresh_all: unknown mode {mode!r}, use 'atomic' or 'continue'")
-        staged, failed, skipped, refreshed = {}, [], 0, 0
-        for name in sorted(self.manifest["views"]):
+        names = sorted(self.manifest["views"])
+
+        def stage(name: str) -> dict | None | Exception:
+            """The view's next entry, None if nothing is new, or why it fails."""
             try:
                 known, view, *rest = self._sound(name)
-                if not self._stale(view):
-                    skipped += 1
-                    continue
-                self._using(view)
-                staged[known] = self._advance(known, view, *rest, bootstrap=False)
-                if mode == "continue":
-                    self._commit(lambda m: m["views"].update(staged))  # noqa: B023
-                    staged = {}
-                refreshed += 1
+                return self._advance(known, view, *rest, bootstrap=False) if self._stale(view) else None
             except Exception as e:
-                if mode == "atomic":
-                    raise ViewError(f"refresh_all: view {name}: {e}; no view was refreshed") from e
-                failed.append(f"{name}: {e}")
+                return e
+
+        with ThreadPoolExecutor(VIEWS_AT_ONCE) as pool:
+            found = dict(zip(names, pool.map(stage, names)))
+        failed = {n: x for n, x in found.items() if isinstance(x, Exception)}
+        staged = {n: x for n, x in found.items() if isinstance(x, dict)}
+        if failed and mode == "atomic":
+            name, why = next(iter(failed.items()))
+            raise ViewError(f"refresh_all: view {name}: {why}; no view was refreshed") from why
+        if staged:
+            self._commit(lambda m: m["views"].update(staged))
         if mode == "atomic":
-            if staged:
-                self._commit(lambda m: m["views"].update(staged))
-            return refreshed
-        return f"refreshed {refreshed}, skipped {skipped}, failed {len(failed)}" + (": " + "; ".join(failed) if failed else "")
+            return len(staged)
+        report = f"refreshed {len(staged)}, skipped {len(names) - len(staged) - len(failed)}, failed {len(failed)}"
+        return report + (": " + "; ".join(f"{n}: {x}" for n, x in failed.items()) if failed else "")
 
     def table(self, name: str) -> DataFrame:
         """The view's rows as of its last refresh."""

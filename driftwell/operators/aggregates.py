@@ -192,7 +192,7 @@ def finalize(layout: Layout, state: dict[str, DataFrame]) -> DataFrame:
     return grouped.select(*keys, *[_output(layout, a).alias(a.output) for a in layout.spec.aggregates])
 
 
-def faults(layout: Layout, part: str, state: DataFrame) -> dict[str, Column]:
+def faults(layout: Layout, part: str) -> dict[str, Column]:
     """Aggregates that count impossible or overflown entries of a part, by the message each stands for."""
     if part == "groups":
         bad = F.col("rows") <= 0

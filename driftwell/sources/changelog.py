@@ -79,13 +79,13 @@ def missing_rows(spark: SparkSession, meta: dict, delta: DataFrame) -> DataFrame
 
 def replaced_rows(spark: SparkSession, meta: dict, rows: DataFrame) -> DataFrame:
     """Live rows that share a unique key (NULL shares nothing) with *rows*, with weight -1; a row hit by two keys once."""
-    live, hits = consolidate(as_of(spark, meta)), None
+    held, hits = as_of(spark, meta), None
     schema = schema_of(meta)
     for key in meta["unique"]:
         kinds = {f.name: values.kind_of(f.dataType) for f in schema.fields}
         given = rows.select(*[values.join_key(F.col(f"`{c}`"), kinds[c]).alias(f"__n{i}") for i, c in enumerate(key)]).distinct()
         same = [values.join_key(F.col(f"`{c}`"), kinds[c]) == F.col(f"__n{i}") for i, c in enumerate(key)]
-        found = live.join(broadcast_if_small(given), same, "left_semi")
+        found = consolidate(held.join(broadcast_if_small(given), same, "left_semi"))  # only rows with such a key are shuffled
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         raise IllegalChange("replace needs a table with a unique key")
