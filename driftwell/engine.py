@@ -267,23 +267,29 @@ class Engine:
         left, right = (values.join_key(F.col(f"`{r.name}`"), values.kind_of(schemas[r.side][r.name].dataType)) for r in spec.join or ())
         return left, right
 
+    def _needed(self, spec: ViewSpec, layout: Layout, side: int, rows: DataFrame) -> DataFrame:
+        """Only the columns of one side that the view uses; coinciding rows add up later."""
+        refs = [k for k, _ in spec.keys] + list(layout.columns) + list(spec.join or ()) + ([spec.predicate.column] if spec.predicate else [])
+        names = dict.fromkeys(r.name for r in refs if r.side == side)
+        return rows.select(*[F.col(f"`{n}`") for n in names], W)
+
     def _bootstrap_rows(self, spec: ViewSpec, layout: Layout, schemas: list[T.StructType]) -> DataFrame:
-        bases = [changelog.as_of(self.spark, self._table(t)[1]) for t in spec.tables]
+        bases = [self._needed(spec, layout, i, changelog.as_of(self.spark, self._table(t)[1])) for i, t in enumerate(spec.tables)]
         rows = zset.joined(*bases, *self._join_keys(spec, schemas)) if spec.join else self._sided(bases[0])
         return self._rows(spec, layout, schemas, rows)
 
     def _delta_rows(self, spec: ViewSpec, layout: Layout, schemas: list[T.StructType], applied: dict[str, int]) -> DataFrame:
         deltas: list[DataFrame | None] = []
-        for t in spec.tables:
+        for i, t in enumerate(spec.tables):
             found = changelog.changes(self.spark, self._table(t)[1], applied[t])
-            deltas.append(None if found is None else zset.consolidate(found))
+            deltas.append(None if found is None else zset.consolidate(self._needed(spec, layout, i, found)))
         if not spec.join:
             assert deltas[0] is not None
             return self._rows(spec, layout, schemas, self._sided(deltas[0]))
         left, right = (self._table(t)[1] for t in spec.tables)
         small = [None if d is None else broadcast_if_small(d) for d in deltas]
-        s_old = changelog.as_of(self.spark, right, applied[spec.tables[1]])
-        r_new = changelog.as_of(self.spark, left)
+        s_old = self._needed(spec, layout, 1, changelog.as_of(self.spark, right, applied[spec.tables[1]]))
+        r_new = self._needed(spec, layout, 0, changelog.as_of(self.spark, left))
         rows = zset.delta_join(small[0], s_old, r_new, small[1], *self._join_keys(spec, schemas))
         return self._rows(spec, layout, schemas, rows)
 

@@ -11,6 +11,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Work folders made for sessions without spark.checkpoint.dir (local masters only), by application id.
 _own_folders: dict[str, str] = {}
@@ -20,8 +21,8 @@ _written: list[tuple[SparkSession, str]] = []
 #: Applications whose workers have this package.
 _shipped: set[str] = set()
 
-#: Rows a side may have at most to be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes a side may have at most to be broadcast; beyond either the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 class SharedFolderMissing(RuntimeError):
@@ -103,9 +104,13 @@ def _remove_written() -> None:
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """*df* with a broadcast hint if it has at most *rows* rows (counted, no further than that), else *df* as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """*df* with a broadcast hint if it has at most *rows* rows of *size* bytes in all (it is read no further than that), else as it is."""
+    fixed = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    varying = [F.coalesce(F.length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema.fields if f.name not in fixed]
+    row_bytes = sum(varying, F.lit(16 * len(df.columns)))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def slots(spark: SparkSession) -> int:

@@ -220,6 +220,32 @@ def dynamic_keys(spark: SparkSession, d: str) -> DataFrame:
     return view.select(F.when(F.col("k.c") == values.TEXT, "text").otherwise("number").alias("class"), F.coalesce(F.col("k.t").cast("bigint"), F.col("k.i"), F.col("k.r").cast("bigint")).alias("k"), "n", "s")
 
 
+def join_dynamic_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Integer and real keys that are equal as numbers join; text and NULL keys don't."""
+    events = table(spark, d, "events").select("event_id", F.pmod("user_id", F.lit(4)).alias("u"), F.pmod("event_id", F.lit(4)).alias("how"))
+    u, how = F.col("u"), F.col("how")
+    cell = F.when(how == 0, values.int_cell(u)).when(how == 1, values.real_cell(u.cast("double"))).when(how == 2, values.text_cell(u.cast("string"))).otherwise(values.int_cell(F.lit(None).cast("bigint")))
+    names = spark.range(4).select(F.when(F.col("id") % 2 == 0, values.real_cell(F.col("id").cast("double"))).otherwise(values.int_cell(F.col("id"))).alias("nk"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    sql = "SELECT name, COUNT(*) AS n, MAX(event_id) AS hi FROM cells JOIN names ON k = nk GROUP BY name"
+    return _run(spark, {"cells": (events.select("event_id", cell.alias("k")), {"event_id": "event_id + 1000000000"}), "names": (names, {"name": "'?'"})}, sql)
+
+
+def sum_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text counts as the number it spells or begins with, 0 if none."""
+    events = table(spark, d, "events")
+    spelled = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" "), F.col("user_id"), F.lit(" "))).when(F.col("event_id") % 4 == 1, F.concat(F.col("user_id"), F.lit(".5x"))).when(F.col("event_id") % 4 == 2, F.lit("abc"))
+    rows = events.select("event_id", "event_type", spelled.alias("t"))
+    return _run(spark, {"texts": (rows, {"t": "'1e5'"})}, "SELECT event_type, SUM(t) AS s, TOTAL(t) AS tt, COUNT(t) AS n FROM texts GROUP BY event_type")
+
+
+def infinite_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Infinities are counted beside the sum: one sign wins, both give NULL, and they retract."""
+    events, inf = table(spark, d, "events"), F.lit(float("inf"))
+    value = F.when((F.col("event_type") != "click") & (F.col("event_id") % 100 == 0), inf).when((F.col("event_type") == "purchase") & (F.col("event_id") % 100 == 1), -inf).otherwise(F.col("value"))
+    view = _run(spark, {"events_i": (events.select("event_id", "event_type", value.alias("value")), {"value": "CAST('-Infinity' AS DOUBLE)"})}, "SELECT event_type, SUM(value) AS s, COUNT(value) AS n FROM events_i GROUP BY event_type")
+    return view.withColumn("s", F.when(F.abs("s") == inf, F.signum("s") * 1e18).otherwise(F.round("s", 2)))
+
+
 def m0_views(spark: SparkSession, d: str) -> DataFrame:
     """The workload of filtered views: SUM and COUNT by region above several limits, over one captured table."""
     orders = table(spark, d, "m0_orders")
@@ -327,6 +353,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gc_resume": gc_resume,
     "last_changes": last_changes,
     "dynamic_keys": dynamic_keys,
+    "join_dynamic_keys": join_dynamic_keys,
+    "sum_text": sum_text,
+    "infinite_sums": infinite_sums,
     "m0_views": m0_views,
     "m2a_replay": m2a_replay,
     "stream_capture": stream_capture,
@@ -363,6 +392,9 @@ SQL: dict[str, str] = {
     "gc_resume": "SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1",
     "last_changes": "SELECT o_orderstatus, count(*) AS n, CAST(CASE o_orderstatus WHEN 'P' THEN 1 ELSE -1 END AS BIGINT) AS w FROM orders WHERE o_orderstatus IN ('P', 'F') GROUP BY 1",
     "dynamic_keys": "SELECT CASE WHEN event_id % 3 = 2 THEN 'text' ELSE 'number' END AS class, user_id % 4 AS k, count(*) AS n, CAST(sum(user_id % 4) AS BIGINT) AS s FROM events GROUP BY 1, 2",
+    "join_dynamic_keys": "SELECT 'n' || (user_id % 4) AS name, count(*) AS n, max(event_id) AS hi FROM events WHERE event_id % 4 < 2 GROUP BY 1",
+    "sum_text": "SELECT event_type, sum(t) AS s, coalesce(sum(t), 0.0) AS tt, count(t) AS n FROM (SELECT event_type, CAST(CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN user_id + 0.5 WHEN 2 THEN 0 END AS DOUBLE) AS t FROM events) GROUP BY 1",
+    "infinite_sums": "SELECT event_type, CASE WHEN up AND down THEN NULL WHEN up THEN 1e18 WHEN down THEN -1e18 ELSE s END AS s, n FROM (SELECT event_type, bool_or(event_type <> 'click' AND event_id % 100 = 0) AS up, bool_or(event_type = 'purchase' AND event_id % 100 = 1) AS down, round(sum(value), 2) AS s, count(*) AS n FROM events GROUP BY 1)",
     "m0_views": " UNION ALL ".join(f"SELECT region, CAST(sum(amount) AS BIGINT) AS s, count(*) AS n, CAST({x} AS BIGINT) AS above FROM m0_orders WHERE amount > {x} GROUP BY 1" for x in (0, 50, 100)),
     "m2a_replay": "SELECT cell, g, count(*) AS n, CAST(sum(amount) AS BIGINT) AS s FROM (SELECT * FROM m2a_log QUALIFY row_number() OVER (PARTITION BY cell, id ORDER BY seq DESC) = 1) GROUP BY 1, 2",
     "stream_capture": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",

@@ -31,6 +31,8 @@ def test_broadcast_only_below_the_limit(spark):
     df = spark.range(10)
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(session.broadcast_if_small(df, 10)) and not hinted(session.broadcast_if_small(df, 9))
+    wide = df.select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert hinted(session.broadcast_if_small(wide, 10, 20_000)) and not hinted(session.broadcast_if_small(wide, 10, 9_000))
 
 
 def test_written_data_is_read_back(spark):
