@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.operators.skew import join_skewed
+from driftwell.operators.skew import join_skewed, possibly_in
 from driftwell.session import written
 
 STATE = ["ref_key", "refs", "alive", "arrived", "deleted", "first_ref", "last_ref"]
@@ -77,9 +77,14 @@ def orphan_rows(refs: DataFrame, state: DataFrame) -> DataFrame:
     reason is the first that holds: missing (no record has the key), deleted (at or before the reference's own time), late
     (the record arrived after the reference did). A record whose arrival is not known counts as arrived in time; a
     reference without time cannot be found deleted. *refs* and *state* should be written data.
+
+    A filter of the doubtful keys keeps most sound references out of the shuffle; hot keys are known from all of *state*, so
+    a hot key is split whether it is doubtful or not.
     """
     doubtful = suspects(state).select(F.col("ref_key").alias("__key"), "refs", "arrived", "deleted", (F.col("alive").isNull() | F.col("arrived").isNull() & F.col("deleted").isNull() & (F.col("alive") <= 0)).alias("__missing"))
-    joined = join_skewed(refs, "ref_key", ["row_id"], doubtful, "__key", "refs")
+    doubtful = written(doubtful, "doubtful_keys")
+    near = possibly_in(refs, "ref_key", doubtful, "__key")
+    joined = join_skewed(near, "ref_key", ["row_id"], doubtful, "__key", state, "ref_key", "refs")
     reason = F.when(F.col("__missing"), "missing").when(F.col("deleted") <= F.col("at"), "deleted").when(F.col("arrived") > F.col("ref_arrived"), "late")
     return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("row_id", "ref_key", "at", "reason")
 

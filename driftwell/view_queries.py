@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftwell.engine import Engine
 from driftwell.functions import values
 from driftwell.operators.zset import W, negate, union, weighted
-from driftwell.session import work_path
+from driftwell.session import broadcast_if_small, work_path
 from driftwell.sources.tables import table
 from driftwell.streaming.adapter import capture
 
@@ -134,7 +134,7 @@ def extremum_retraction(spark: SparkSession, d: str) -> DataFrame:
     """The present extremes of every group are deleted; the next ones take their place."""
     events = table(spark, d, "events").select("event_id", "event_type", "value")
     ends = events.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    gone = events.join(F.broadcast(ends.limit(1_000)), "event_type").where((F.col("value") == F.col("lo")) | (F.col("value") == F.col("hi"))).select(events.columns)
+    gone = events.join(broadcast_if_small(ends), "event_type").where((F.col("value") == F.col("lo")) | (F.col("value") == F.col("hi"))).select(events.columns)
     engine = Engine(spark, buckets=BUCKETS)
     engine.create_table("events", events)
     engine.create_view("v", "SELECT event_type, MIN(value) AS lo, MAX(value) AS hi, COUNT(*) AS n FROM events GROUP BY event_type")

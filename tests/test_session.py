@@ -38,3 +38,13 @@ def test_broadcast_only_below_the_limit(spark):
 def test_written_data_is_read_back(spark):
     df = session.written(spark.range(5).select(F.col("id").alias("x"), F.lit(None).cast("string").alias("y")), "t")
     assert df.count() == 5 and df.columns == ["x", "y"]
+
+
+def test_the_size_check_takes_one_row_a_task_and_sizes_come_from_files(spark):
+    import inspect
+
+    assert ".limit(" not in inspect.getsource(session.broadcast_if_small)
+    df = session.written(spark.range(20_000), "sized")
+    held = session.input_bytes(df)
+    assert 20_000 < held < 400_000 and session.input_bytes(df.groupBy("id").count()) == held
+    assert session.partitions_for(df) == session.slots(spark) and session.partitions_for(df, held // 10) >= 10
