@@ -5,9 +5,10 @@ task turns its rows into runs without a shuffle; runs of the same group and shar
 finer groups merge into those of coarser ones the same way, so nothing is counted twice and any batching gives the same
 result. Counts over the shards of a group add up, as shards cut the hash space.
 
-Shards bound the size of a run: shard_bits() picks enough leading hash bits that the largest group's rows divided by the
-shards stay below *capacity*. Repeats of one identifier fold inside each map task, so a hot identifier adds at most one
-hash per partial run.
+Shards bound the size of a run: shard_bits() picks, for each group by its own rows, enough leading hash bits that its rows
+divided by its shards stay below *capacity*. A small group keeps one run however large another is. Only groups beyond the
+capacity are listed, so the list is no longer than all rows divided by the capacity. Repeats of one identifier fold inside
+each map task, so a hot identifier adds at most one hash per partial run.
 
 Error: two identifiers are confused only if their hashes agree. With n distinct identifiers the expected undercount, and
 the probability of any, is at most n (n - 1) / 2^65 (birthday bound), reported beside each count.
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwell.session import with_package
+from driftwell.session import broadcast_if_small, with_package, written
 
 #: Rows a map task gathers before it cuts runs.
-BUFFER_ROWS = 1 << 19
+BUFFER_ROWS = 1 << 21
 #: Rows of a group per shard aimed at.
-CAPACITY = 1 << 18
+CAPACITY = 1 << 20
 _HEAD = struct.Struct("<IBQ")
 
 
@@ -93,81 +94,99 @@ def union_runs(runs: list[np.ndarray]) -> np.ndarray:
     return merged[keep]
 
 
-def _cut(groups: np.ndarray, hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(group, shard, sorted distinct hashes) of unordered rows."""
+def _cut(groups: np.ndarray, hashes: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(group, shard, sorted distinct hashes) of unordered rows; *bits* are each row's group's."""
     order = np.lexsort((hashes, groups))
-    groups, hashes = groups[order], hashes[order]
+    groups, hashes, bits = groups[order], hashes[order], bits[order]
     keep = np.ones(len(groups), bool)
     keep[1:] = (groups[1:] != groups[:-1]) | (hashes[1:] != hashes[:-1])
-    groups, hashes = groups[keep], hashes[keep]
-    shards = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    groups, hashes, bits = groups[keep], hashes[keep], bits[keep].astype(np.uint64)
+    shards = np.where(bits > 0, hashes >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate(([True], (groups[1:] != groups[:-1]) | (shards[1:] != shards[:-1])))) if len(groups) else np.empty(0, np.int64)
     for a, b in zip(starts, [*starts[1:], len(groups)]):
         yield int(groups[a]), int(shards[a]), hashes[a:b]
 
 
-def shard_bits(largest: int, capacity: int = CAPACITY) -> int:
-    """Leading bits of the hash that cut *largest* rows into shards of at most about *capacity*."""
-    return max(0, math.ceil(math.log2(max(1, largest) / capacity))) if largest > capacity else 0
+def shard_bits(sizes: DataFrame, group: list[str], rows: str = "n", capacity: int = CAPACITY) -> DataFrame:
+    """*group* and bits: leading bits of the hash that cut a group's rows into shards of at most about *capacity*; only groups that need any.
 
+    *sizes* has the rows of each group or of finer ones, which are added up.
+    """
+    held = sizes.groupBy(*group).agg(F.sum(rows).alias(rows)).where(F.col(rows) > capacity)
+    return held.select(*group, F.ceil(F.log2(F.col(rows) / F.lit(capacity))).cast("int").alias("bits"))
+
+
+def _with_bits(df: DataFrame, names: list[str], bits: DataFrame | None, group: list[str]) -> DataFrame:
+    """*df* with __bits of the group in its columns *names*, 0 for groups that *bits* does not list."""
+    if bits is None:
+        return df.withColumn("__bits", F.lit(0))
+    listed = broadcast_if_small(written(bits, "shard_bits").select(*[F.col(g).alias(f"__b{i}") for i, g in enumerate(group)], F.col("bits").alias("__bits")))
+    same = [F.col(n).eqNullSafe(F.col(f"__b{i}")) for i, n in enumerate(names)]
+    return df.join(listed, same, "left").select(*df.columns, F.coalesce("__bits", F.lit(0)).alias("__bits"))
 
-def partial_runs(df: DataFrame, group: dict[str, Column], measures: dict[str, Column], bits: int) -> DataFrame:
-    """Runs of *df* without a shuffle: the group columns (as strings), measure, shard, n, run.
+
+def partial_runs(df: DataFrame, group: dict[str, Column], measures: dict[str, Column], bits: DataFrame | None = None, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+    """Runs of *df* without a shuffle: the group columns (as strings), measure, shard, n, run. *bits* as shard_bits() gives them.
 
     NULL is no identifier; a group with NULL in a group column is a group of its own. One map task may give several runs of
     the same group, measure and shard; merge_runs() unites them. An empty table gives no run.
     """
     names, wanted = list(group), list(measures)
+    width, held = len(names), [f"__g{i}" for i in range(len(names))]
     rows = df.select(
-        *[c.cast("string").alias(f"__g{i}") for i, c in enumerate(group.values())],
+        *[c.cast("string").alias(g) for g, c in zip(held, group.values())],
         *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"__m{i}") for i, c in enumerate(measures.values())],
     )
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("measure", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("n", T.LongType()), T.StructField("run", T.BinaryType())])
     arrow = pa.schema([*[(n, pa.string()) for n in names], ("measure", pa.string()), ("shard", pa.int64()), ("n", pa.int64()), ("run", pa.binary())])
-    width = len(names)
 
-    def runs(gathered: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(gathered)
-        code = np.zeros(table.num_rows, np.int64)
-        seen: list[list] = []
+    def coded(batch: pa.RecordBatch, seen: dict[tuple, int]) -> np.ndarray:
+        """A number per row for its group; *seen* numbers the groups of the task."""
+        code, dictionaries = np.zeros(batch.num_rows, np.int64), []
         for i in range(width):
-            column = table.column(i).combine_chunks().dictionary_encode(null_encoding="encode")
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            values = column.dictionary.to_pylist()
-            code = code * len(values) + column.indices.to_numpy(zero_copy_only=False)
-            seen.append(values)
-        out: list[list] = [[] for _ in arrow.names]
+            column = batch.column(i).dictionary_encode(null_encoding="encode")
+            dictionaries.append(column.dictionary.to_pylist())
+            code = code * len(dictionaries[-1]) + column.indices.to_numpy(zero_copy_only=False)
+        found, place = np.unique(code, return_inverse=True)
+        numbers = []
+        for c in found.tolist():
+            parts = []
+            for d in reversed(dictionaries):
+                c, at = divmod(c, len(d))
+                parts.append(d[at])
+            numbers.append(seen.setdefault(tuple(reversed(parts)), len(seen)))
+        return np.array(numbers, np.int64)[place]
+
+    def runs(gathered: list[tuple], seen: dict[tuple, int]) -> pa.RecordBatch:
+        groups, shard_of = (np.concatenate([x[i] for x in gathered]) for i in (0, 1))
+        named, out = list(seen), [[] for _ in arrow.names]
         for j, measure in enumerate(wanted):
-            column = table.column(width + j).combine_chunks()
-            there = pc.is_valid(column).to_numpy(zero_copy_only=False)
-            hashes = column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for g, shard, part in _cut(code[there], hashes[there], bits):
-                for i in reversed(range(width)):
-                    g, at = divmod(g, len(seen[i]))
-                    out[i].append(seen[i][at])
-                for place, value in zip(range(width, width + 4), (measure, shard, len(part), encode_run(part))):
+            there, hashes = (np.concatenate([x[2][j][i] for x in gathered]) for i in (0, 1))
+            for g, shard, part in _cut(groups[there], hashes[there], shard_of[there]):
+                for place, value in enumerate((*named[g], measure, shard, len(part), encode_run(part))):
                     out[place].append(value)
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, arrow.types)], schema=arrow)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, rows_held = [], 0
+        gathered, rows_held, seen = [], 0, {}
         for batch in batches:
             if batch.num_rows:
-                gathered.append(batch)
+                measured = [(pc.is_valid(c).to_numpy(zero_copy_only=False), c.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) for c in batch.columns[width:-1]]
+                gathered.append((coded(batch, seen), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.uint8), measured))
                 rows_held += batch.num_rows
-            if rows_held >= BUFFER_ROWS:
-                yield runs(gathered)
-                gathered, rows_held = [], 0
+            if rows_held >= buffer_rows:
+                yield runs(gathered, seen)
+                gathered, rows_held, seen = [], 0, {}
         if gathered:
-            yield runs(gathered)
+            yield runs(gathered, seen)
 
-    return with_package(rows).mapInArrow(task, schema)
+    return _with_bits(with_package(rows), held, bits, names).mapInArrow(task, schema)
 
 
-def merge_runs(runs: DataFrame, group: list[str], bits: int) -> DataFrame:
-    """Runs united per *group* (some or all of the group columns), measure and shard of *bits* leading bits.
+def merge_runs(runs: DataFrame, group: list[str], bits: DataFrame | None = None) -> DataFrame:
+    """Runs united per *group* (some or all of the group columns), measure and shard of the group's *bits*.
 
-    Runs with fewer bits are first cut finer, without a shuffle, so coarser groups stay bounded as well.
+    Runs with fewer bits than their group has here are first cut finer, without a shuffle, so coarser groups stay bounded as well.
     """
     keys = [*group, "measure", "shard"]
     schema = T.StructType([*[runs.schema[c] for c in [*group, "measure"]], T.StructField("shard", T.LongType()), T.StructField("n", T.LongType()), T.StructField("run", T.BinaryType())])
@@ -176,9 +195,13 @@ def merge_runs(runs: DataFrame, group: list[str], bits: int) -> DataFrame:
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in arrow.names]
-            for *names, run in zip(*[batch.column(c).to_pylist() for c in [*group, "measure", "run"]]):
+            for *names, n, run, wanted in zip(*[batch.column(c).to_pylist() for c in [*group, "measure", "n", "run", "__bits"]]):
+                if not wanted:
+                    for place, value in enumerate([*names, 0, n, run]):
+                        out[place].append(value)
+                    continue
                 hashes = decode_run(run)
-                for _, shard, part in _cut(np.zeros(len(hashes), np.int64), hashes, bits):
+                for _, shard, part in _cut(np.zeros(len(hashes), np.int64), hashes, np.full(len(hashes), wanted)):
                     for place, value in enumerate([*names, shard, len(part), encode_run(part)]):
                         out[place].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, arrow.types)], schema=arrow)
@@ -188,9 +211,7 @@ def merge_runs(runs: DataFrame, group: list[str], bits: int) -> DataFrame:
         values = [*[table.column(c)[0].as_py() for c in [*group, "measure", "shard"]], len(united), encode_run(united)]
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(values, arrow.types)], schema=arrow)
 
-    cut = with_package(runs).select(*keys, "n", "run")
-    if bits:
-        cut = cut.mapInArrow(finer, schema)
+    cut = _with_bits(with_package(runs).select(*keys, "n", "run"), group, bits, group).mapInArrow(finer, schema) if bits is not None else with_package(runs).select(*keys, "n", "run")
     return cut.groupBy(*keys).applyInArrow(unite, schema)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.session import broadcast_if_small, slots, written
+from driftwell.session import broadcast_if_small, partitions_for, written
 
 
 def _stacked(rows: DataFrame, fields: list[str], prefix: str, out: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _stacked(rows: DataFrame, fields: list[str], prefix: str, out: str) -> DataF
 
 def local_counts(df: DataFrame, row_id: Column, fields: dict[str, Column], nodes: int | None = None) -> DataFrame:
     """Written table node, field, h, c: rows per node, field and value hash; h is NULL for rows without value."""
-    n = nodes or slots(df.sparkSession)
+    n = nodes or partitions_for(df)
     rows = df.select(row_id.alias("__id"), *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"__h{i}") for i, c in enumerate(fields.values())])
     dealt = rows.withColumn("node", F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int")).repartitionById(n, F.col("node"))
     once = dealt.dropDuplicates()
@@ -45,7 +45,7 @@ def most_frequent(df: DataFrame, row_id: Column, fields: dict[str, Column], k: i
     *row_id* agree in them and count once. NULL is no value, but its row counts in of_rows. An empty table gives no row.
     """
     names = list(fields)
-    m = nodes or slots(df.sparkSession)
+    m = nodes or partitions_for(df)
     local = local_counts(df, row_id, fields, m)
     total = local.where(F.col("field") == names[0]).agg(F.sum("c")).first()[0] or 0
     least = max(1, -(-int(total * min_share * 10**9) // 10**9))

@@ -75,7 +75,7 @@ def _time_of(source: Column, reached: Column, segments: dict[str, list[tuple[flo
 
 
 def demands(tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: target_share, max_repeats, source_tokens, demand, supply, reachable.
+    """Per target source: target_share, max_repeats, source_tokens, demand, supply.
 
     *targets* has source, target_share, max_repeats; NULL share counts as 0, NULL repeats as 1; spellings of one source are
     added up (shares) or the largest taken (repeats). A source without documents has 0 tokens.
@@ -86,7 +86,7 @@ def demands(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     held = tokens.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     both = wanted.join(held, "source", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
     both = both.withColumn("demand", F.col("target_share") * F.lit(float(whole))).withColumn("supply", F.col("max_repeats") * F.col("source_tokens"))
-    return both.withColumn("reachable", F.col("demand") <= F.col("supply")).withColumn("all_tokens", F.lit(whole).cast("long"))
+    return both.withColumn("all_tokens", F.lit(whole).cast("long"))
 
 
 def selection(tokens: DataFrame, demand: DataFrame, seed: int = 17, bucket_rows: int = BUCKET_ROWS, schedule: dict[str, list[tuple[float, float]]] | None = None) -> DataFrame:
@@ -114,9 +114,14 @@ def in_training_order(selected: DataFrame) -> DataFrame:
 
 
 def mixing_report(selected: DataFrame, demand: DataFrame) -> DataFrame:
-    """Per target source the tokens and documents selected and its shares of all tokens and of the selection."""
+    """Per target source the tokens and documents selected and its shares of all tokens and of the selection.
+
+    reached is false for a source that the selection used up, every document max_repeats times, and that is still short of
+    its demand: no order of its documents can give more.
+    """
     got = selected.groupBy("source").agg(F.sum("n_tokens").alias("selected_tokens"), F.count(F.lit(1)).alias("selected_rows"), F.max("copy_no").alias("most_repeats"))
-    report = written(demand.join(got, "source", "left").fillna(0, ["selected_tokens", "selected_rows", "most_repeats"]), "mixing_report")
+    used_up = (F.col("selected_tokens") == F.col("supply")) & (F.col("selected_tokens") < F.col("demand"))
+    report = written(demand.join(got, "source", "left").fillna(0, ["selected_tokens", "selected_rows", "most_repeats"]).withColumn("reached", ~used_up), "mixing_report")
     chosen = report.agg(F.sum("selected_tokens")).first()[0] or 0
     share = lambda whole: F.try_divide(F.col("selected_tokens").cast("double"), whole)
     return report.withColumn("share_of_all", share(F.col("all_tokens").cast("double"))).withColumn("share_of_selection", share(F.lit(float(chosen))))

@@ -20,7 +20,7 @@ _CODE = re.compile(r"`[^`]*`|\S*[_/\\={}()\[\]<>;]\S*|\b[a-z]+[A-Z]\w*\b")
 _ITEM = re.compile(r"^(\s*)(?:[-*+•]|\d{1,3}[.)])\s+")
 _STOP = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-#: Words a sentence of prose has at least.
+#: Words a sentence of prose has at least, by default: fewer are headings, names and remnants of code.
 LEAST_WORDS = 4
 
 
@@ -49,10 +49,11 @@ def message(text: str) -> list[str]:
     return body[subject + 1 :]
 
 
-def sentences(text: str | None) -> list[list[str]]:
+def sentences(text: str | None, least_words: int = LEAST_WORDS) -> list[list[str]]:
     """The message's sentences as lists of lower-case words; NULL, empty and diff-only texts have none.
 
-    Wrapped lines are joined; every list item is a sentence of its own, with or without a full stop.
+    Wrapped lines are joined; every list item is a sentence of its own, with or without a full stop. A sentence has at
+    least *least_words* words.
     """
     if not text:
         return []
@@ -72,7 +73,7 @@ def sentences(text: str | None) -> list[list[str]]:
         cleaned = _LINK.sub(" ", bare)
         hashed = _HASH.search(cleaned) is not None
         cleaned = _HASH.sub(" ", cleaned)
-        if (hashed or cleaned != bare) and len(_WORD.findall(cleaned)) < LEAST_WORDS:
+        if (hashed or cleaned != bare) and len(_WORD.findall(cleaned)) < least_words:
             fresh = True
             continue
         item = _ITEM.match(line)
@@ -87,6 +88,6 @@ def sentences(text: str | None) -> list[list[str]]:
     for block in blocks:
         for sentence in _STOP.split(" ".join(block)):
             words = [w.lower() for w in _WORD.findall(_CODE.sub(" ", sentence))]
-            if len(words) >= LEAST_WORDS:
+            if len(words) >= least_words:
                 found.append(words)
     return found

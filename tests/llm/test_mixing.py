@@ -32,17 +32,24 @@ def test_shares_repeats_and_positions(spark, bucket_rows):
         order = sorted(r.position for r in mine)
         assert abs(order[len(order) // 2] - 0.5) < 0.05  # constant weight: even over the training
     report = {r.source: r for r in mixing.mixing_report(sel, d).collect()}
-    assert not report["c"].reachable and report["c"].source_tokens == report["c"].selected_tokens == 0
+    assert not report["c"].reached and report["a"].reached and report["b"].reached and report["c"].source_tokens == report["c"].selected_tokens == 0
     assert report["a"].share_of_all == pytest.approx(0.5, abs=0.01) and sum(r.share_of_selection for r in report.values()) == pytest.approx(1)
 
 
 def test_a_source_that_falls_short_is_used_up(spark):
     t = tokens_of(spark, [(i, "a", 10) for i in range(5)] + [(9, "z", 950)])
     d = mixing.demands(t, targets(spark, [("a", 0.5, 3)]))
-    assert not d.first().reachable
+    assert not mixing.mixing_report(mixing.selection(t, d), d).first().reached
     assert mixing.selection(t, d).groupBy("doc_id").count().where("count = 3").count() == 5
 
 
+@pytest.mark.parametrize("share,repeats,reached", [(0.05, 1, True), (0.0501, 1, False), (0.15, 3, True), (0.1499, 3, True), (0.1501, 3, False)])
+def test_what_the_selection_says_of_a_source_near_its_limit(spark, share, repeats, reached):
+    t = tokens_of(spark, [(i, "a", 10) for i in range(5)] + [(9, "z", 950)])
+    d = mixing.demands(t, targets(spark, [("a", share, repeats)]))
+    assert mixing.mixing_report(mixing.selection(t, d), d).first().reached is reached
+
+
 def test_selection_is_the_same_in_any_partitioning(spark):
     t = tokens_of(spark, [(i, "a", 1 + i % 9) for i in range(500)])
     d = mixing.demands(t, targets(spark, [("a", 0.3, 1)]))
@@ -75,5 +82,5 @@ def test_whole_documents(spark):
 def test_empty_tables(spark):
     t = tokens_of(spark, [])
     d = mixing.demands(t, targets(spark, [("a", 0.5, 1)]))
-    assert mixing.selection(t, d).count() == 0 and mixing.mixing_report(mixing.selection(t, d), d).first().reachable
+    assert mixing.selection(t, d).count() == 0 and mixing.mixing_report(mixing.selection(t, d), d).first().reached
     assert mixing.demands(t, targets(spark, [])).count() == 0

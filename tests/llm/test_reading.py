@@ -117,3 +117,27 @@ def test_long_simple_sentences_are_not_hard(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert reading.reading_levels(df, F.col("doc_id"), F.col("text")).count() == 0
+
+
+@pytest.mark.parametrize("vocabulary", [0, 1, 7])
+def test_words_beyond_the_vocabulary_count_all_the_same(spark, vocabulary):
+    docs = corpus(40) + [(1000, None), (1001, f"s\n\n{EASY}"), (1001, f"s\n\n{HARD}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    prose = reading.prose_table(df, F.col("doc_id"), F.col("text"))
+    seeds = reading.seed_levels(prose, None)
+    whole, cut = reading.train(seeds), reading.train(seeds, vocabulary=vocabulary)
+    assert whole.rare is None and len(cut.words) == vocabulary and cut.rare.count() == len(whole.words) - vocabulary > 0
+    key = lambda r: (r.doc_id, r.level is None, r.level or 0, r.n_above)
+    a, b = (sorted(reading.assign(prose, m).collect(), key=key) for m in (whole, cut))
+    assert len(a) == len(b) == 43
+    for x, y in zip(a, b):
+        assert (x.doc_id, x.level, x.n_sentences, x.n_above) == (y.doc_id, y.level, y.n_sentences, y.n_above)
+        assert x.posterior == y.posterior is None or x.posterior == pytest.approx(y.posterior, rel=1e-9)
+
+
+def test_least_words_and_grades_are_parameters(spark):
+    assert sentences("s\n\nToo short. This one has five words.", least_words=2) == [["too", "short"], ["this", "one", "has", "five", "words"]]
+    df = spark.createDataFrame([(1, f"s\n\n{EASY}")], "doc_id long, text string")
+    prose = reading.prose_table(df, F.col("doc_id"), F.col("text"))
+    labels = spark.createDataFrame([(1, 25)], "doc_id long, grade int")
+    assert reading.seed_levels(prose, labels).first().grade < 5 and reading.seed_levels(prose, labels, grades=(1, 30)).first().grade == 25

@@ -58,3 +58,32 @@ def test_row_groups_with_an_equal_score_are_read(tmp_path):
     pq.write_table(table, path, row_group_size=2)
     rows = [r for t, _ in ti.top_of_file(pq.ParquetFile(path), 2) if t is not None for r in t.to_pylist()]
     assert [r["__t0"] for r in rows] == [1, 2]
+
+
+def test_footers_rule_out_the_tail_of_a_hot_group_over_all_files(spark):
+    """A group with most rows: of its row groups only those that reach its N-th score are read, in whatever file they lie."""
+    df = spark.range(6_000).select(F.when(F.col("id") % 6 > 0, 1).otherwise(F.col("id")).alias("g"), (F.col("id") * 7919 % 6_007).alias("s"))
+    report = ti.skipping_report(df, F.col("g"), F.col("s"), {"s2": F.col("s")}, 3, partitions=4, row_group_rows=100).first()
+    assert report.n_items == 6_000 and report.row_groups >= 60
+    assert report.skipped_by_footer >= 40 and report.read + report.skipped_by_footer + report.skipped_in_file == report.row_groups
+    got = ti.top_items(df, F.col("g"), F.col("s"), {"s2": F.col("s")}, 3, partitions=4, row_group_rows=100).where("group = 1")
+    best = sorted((i * 7919 % 6_007 for i in range(6_000) if i % 6), reverse=True)[:3]
+    assert sorted((r.score for r in got.collect()), reverse=True) == best
+
+
+def test_an_equal_score_is_never_ruled_out(spark):
+    df = spark.range(900).select(F.lit(1).alias("g"), F.lit(5).alias("s"), (900 - F.col("id")).alias("id"))
+    assert [r.id for r in ti.top_items(df, F.col("g"), F.col("s"), {"id": F.col("id")}, 2, partitions=3, row_group_rows=50).orderBy("rank_no").collect()] == [1, 2]
+
+
+def test_stores_by_their_hadoop_names(tmp_path, monkeypatch):
+    (tmp_path / "x").write_bytes(b"abc")
+    assert ti.open_file(f"file:{tmp_path}/x").read() == ti.open_file(f"file://{tmp_path}/x").read() == b"abc"
+    asked = []
+
+    def from_uri(uri):
+        asked.append(uri)
+        return type("S", (), {"open_input_file": lambda self, at: at})(), "k"
+
+    monkeypatch.setattr(ti, "pafs", type("F", (), {"FileSystem": type("G", (), {"from_uri": staticmethod(from_uri)})}))
+    assert ti.open_file("s3a://b/k") == "k" and ti.open_file("hdfs://h/k") == "k" and asked == ["s3://b/k", "hdfs://h/k"]
