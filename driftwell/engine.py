@@ -7,8 +7,11 @@
     engine.refresh("revenue")
     engine.table("revenue").show()
 
-At every refresh the view equals its query over the base tables. Reads never refresh. State is kept in hash buckets of the
-group key; a refresh reads and rewrites only buckets with a touched group, and everything becomes visible in one commit.
+At every refresh the view equals its query over the base tables. Reads never refresh. State and output are kept in hash
+buckets of the group key, each a list of runs that add up: a refresh appends one run of its changes to the buckets it touches,
+reads the state of those buckets only, and works out the touched groups only. Buckets with many runs are merged into one. A
+join view keeps both sides as well, in hash buckets of the join key, so that changes of one side meet the matching buckets
+of the other instead of its whole table. Everything a refresh does becomes visible in one commit.
 """
 
 from __future__ import annotations
@@ -26,17 +29,21 @@ from pyspark.sql import types as T
 
 from driftwell.functions import values
 from driftwell.operators import zset
-from driftwell.operators.aggregates import Layout, faults, finalize, merge, partial
+from driftwell.operators.aggregates import Layout, entry_faults, finalize, group_faults, living, merge, partial
 from driftwell.operators.zset import W
 from driftwell.plans.errors import BrokenView, IllegalChange, StateError, SumOverflow, UnknownTable, UnsupportedView, ViewError
 from driftwell.plans.sqlfront import PREFIX, parse_view
 from driftwell.plans.store import Store
 from driftwell.plans.viewspec import FORMAT, Predicate, ViewSpec
-from driftwell.session import broadcast_if_small, slots, with_package, work_path
+from driftwell.session import partitions_for, slots, stored_bytes, with_package, work_path
 from driftwell.sources import changelog
 
 #: Views refresh_all works on side by side.
 VIEWS_AT_ONCE = 8
+#: Runs of a bucket beyond which they are merged into one.
+MAX_RUNS = 8
+#: Stored bytes up to which the changes of a refresh are broadcast; beyond, Spark chooses.
+SMALL_DELTA = 8 << 20
 _SUMMABLE = ("int", "bool", "real", "decimal", "text", "blob", "dyn")
 
 
@@ -109,9 +116,12 @@ def _numeric_condition(column: Column, kind: str, op: str, cls: str, value: obje
 
 
 class Engine:
-    """Tables and views below *root*, a folder all executors share (by default one that ends with the process)."""
+    """Tables and views below *root*, a folder all executors share (by default one that ends with the process).
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 16) -> None:
+    *buckets* are those of each table and view made from now on; by default as many as their input has bytes for.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None) -> None:
         self.spark, self.buckets = spark, buckets
         self.store = Store(spark, root or work_path(spark, "engine"))
         self.manifest = self.store.load()
@@ -136,6 +146,7 @@ class Engine:
     def create_table(self, name: str, rows: DataFrame | T.StructType, unique: Iterable[Iterable[str]] = ()) -> None:
         """Declare a base table with its first rows, or an empty one by schema; *unique* are the keys replace() goes by."""
         schema = rows if isinstance(rows, T.StructType) else T.StructType([f for f in rows.schema.fields if f.name != W])
+        schema = values.nullable(schema)
         self._free_name(name, "table")
         for f in schema.fields:
             if f.name.lower().startswith(PREFIX) or f.name.lower() in (W, "rowid", "oid", "_rowid_"):
@@ -145,13 +156,19 @@ class Engine:
         keys = [[next((f.name for f in schema.fields if f.name.lower() == c.lower()), None) for c in key] for key in unique]
         if any(c is None for key in keys for c in key):
             raise UnsupportedView(f"a unique key of {name} names a column it doesn't have")
-        meta = {"schema": schema.json(), "unique": keys, "snapshot": None, "segments": [], "next": 1, "batches": {}}
+        hashed = [f.name for f in schema.fields if values.kind_of(f.dataType) != "other"] or schema.fieldNames()
+        meta = {"schema": schema.json(), "unique": keys, "by": keys[0] if keys else hashed, "buckets": self._buckets_for(rows), "snapshot": None, "segments": [], "next": 1, "batches": {}}
         if isinstance(rows, DataFrame):
-            path = self.store.fresh(f"{name}-snapshot")
-            changelog.conform(rows, schema).write.parquet(path)
-            meta["snapshot"] = path
+            meta["snapshot"] = self._snapshot(name, meta, changelog.conform(rows, schema))
         self._commit(lambda m: m["tables"].__setitem__(name, meta))
 
+    def _buckets_for(self, *rows: DataFrame | T.StructType) -> int:
+        return self.buckets or max([partitions_for(r) for r in rows if isinstance(r, DataFrame)], default=slots(self.spark))
+
+    def _snapshot(self, name: str, meta: dict, rows: DataFrame) -> dict[str, str]:
+        path = self.store.fresh(f"{name}-snapshot")
+        return self._write_buckets(path, rows, changelog.bucket_of(meta), meta["buckets"], spread=True)
+
     def drop_table(self, name: str) -> None:
         """Remove a base table; views over it are broken from then on."""
         known, _ = self._table(name)
@@ -160,11 +177,12 @@ class Engine:
     def redeclare_table(self, name: str, schema: T.StructType) -> None:
         """Change a table's columns: added ones are NULL in the rows there are, missing ones are dropped. Breaks views over it."""
         known, meta = self._table(name)
+        schema = values.nullable(schema)
         old = changelog.as_of(self.spark, meta)
         rows = old.select(*[(F.col(f"`{f.name}`") if f.name in old.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields], W)
-        path = self.store.fresh(f"{known}-snapshot")
-        zset.consolidate(rows).write.parquet(path)
-        new = meta | {"schema": schema.json(), "snapshot": path, "segments": [], "unique": [k for k in meta["unique"] if all(c in schema.fieldNames() for c in k)]}
+        unique = [k for k in meta["unique"] if all(c in schema.fieldNames() for c in k)]
+        new = meta | {"schema": schema.json(), "segments": [], "unique": unique, "by": unique[0] if unique else schema.fieldNames()}
+        new["snapshot"] = self._snapshot(known, new, zset.consolidate(rows))
         self._commit(lambda m: m["tables"].__setitem__(known, new))
 
     def base(self, name: str, position: int | None = None) -> DataFrame:
@@ -187,7 +205,9 @@ class Engine:
         changelog.conform(delta, changelog.schema_of(meta)).write.parquet(path)
         if check:
             written = changelog.read(self.spark, meta, [path])
-            if written.where(F.col(W) < 0).limit(1).count() and changelog.missing_rows(self.spark, meta, written).limit(1).count():
+            # no more bucket numbers than buckets
+            touched = [r[0] for r in written.where(F.col(W) < 0).select(changelog.bucket_of(meta)).distinct().collect()]
+            if touched and changelog.missing_rows(self.spark, meta, written, touched).limit(1).count():
                 self.store.remove(path)
                 raise IllegalChange(f"a change of {known} removes a row that is not there")
 
@@ -215,8 +235,8 @@ class Engine:
         known, meta = self._table(name)
         given = changelog.conform(rows, changelog.schema_of(meta))
         for key in meta["unique"]:
-            there = given.dropna(subset=list(key))
-            if there.groupBy(*key).count().where(F.col("count") > 1).limit(1).count():
+            there = changelog.unique_keys(meta, key, given)
+            if there.groupBy(*there.columns).count().where(F.col("count") > 1).limit(1).count():
                 raise IllegalChange(f"rows to replace share the unique key {key} among themselves")
         removed = changelog.replaced_rows(self.spark, meta, given)
         return self.apply(known, given.unionByName(removed), check=False)
@@ -273,64 +293,70 @@ class Engine:
         names = dict.fromkeys(r.name for r in refs if r.side == side)
         return rows.select(*[F.col(f"`{n}`") for n in names], W)
 
-    def _bootstrap_rows(self, spec: ViewSpec, layout: Layout, schemas: list[T.StructType]) -> DataFrame:
-        bases = [self._needed(spec, layout, i, changelog.as_of(self.spark, self._table(t)[1])) for i, t in enumerate(spec.tables)]
-        rows = zset.joined(*bases, *self._join_keys(spec, schemas)) if spec.join else self._sided(bases[0])
-        return self._rows(spec, layout, schemas, rows)
-
-    def _delta_rows(self, spec: ViewSpec, layout: Layout, schemas: list[T.StructType], applied: dict[str, int]) -> DataFrame:
-        deltas: list[DataFrame | None] = []
-        for i, t in enumerate(spec.tables):
-            found = changelog.changes(self.spark, self._table(t)[1], applied[t])
-            deltas.append(None if found is None else zset.consolidate(self._needed(spec, layout, i, found)))
-        if not spec.join:
-            assert deltas[0] is not None
-            return self._rows(spec, layout, schemas, self._sided(deltas[0]))
-        left, right = (self._table(t)[1] for t in spec.tables)
-        small = [None if d is None else broadcast_if_small(d) for d in deltas]
-        s_old = self._needed(spec, layout, 1, changelog.as_of(self.spark, right, applied[spec.tables[1]]))
-        r_new = self._needed(spec, layout, 0, changelog.as_of(self.spark, left))
-        rows = zset.delta_join(small[0], s_old, r_new, small[1], *self._join_keys(spec, schemas))
-        return self._rows(spec, layout, schemas, rows)
-
-    def _write_part(self, part: str, df: DataFrame, keys: list[Column], name: str, buckets: int) -> dict[str, str]:
-        """Write one part by bucket of its group keys; gives {bucket: path} of what was written (buckets without rows are absent)."""
-        path = self.store.fresh(f"{name}-{part}")
-        bucketed = df.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        per = max(1, slots(self.spark) // buckets)  # a bucket is written by several tasks where there are more tasks than buckets
-        spread = [F.pmod(F.hash(*[F.col(f"`{c}`") for c in bucketed.columns if c != "__b"]), F.lit(per))] if per > 1 else []
-        bucketed.repartition(F.col("__b"), *spread).write.partitionBy("__b").parquet(path)
-        found = [c for c in self.store.children(path) if c.startswith("__b=")]
-        return {c[4:]: f"{path}/{c}" for c in found}
-
-    def _read_part(self, view: dict, part: str, buckets: list[int] | None) -> DataFrame:
-        held = view["parts"][part]
-        paths = [p for b, p in held.items() if buckets is None or int(b) in buckets]
+    def _joined(self, spec: ViewSpec, schemas: list[T.StructType], left: DataFrame, right: DataFrame) -> DataFrame:
+        return zset.joined(left, right, *self._join_keys(spec, schemas))
+
+    def _bases(self, spec: ViewSpec, layout: Layout) -> list[DataFrame]:
+        return [self._needed(spec, layout, i, changelog.as_of(self.spark, self._table(t)[1])) for i, t in enumerate(spec.tables)]
+
+    def _write_buckets(self, path: str, df: DataFrame, bucket: Column, buckets: int, spread: bool = False) -> dict[str, str]:
+        """Write by bucket; gives {bucket: path} of what was written. *spread* lets several tasks write a bucket where there are more tasks."""
+        bucketed = df.withColumn("__b", bucket)
+        per = max(1, slots(self.spark) // buckets) if spread else 1
+        parts = [F.pmod(F.hash(*[F.col(f"`{c}`") for c in df.columns]), F.lit(per))] if per > 1 else []
+        bucketed.repartition(F.col("__b"), *parts).write.partitionBy("__b").parquet(path)
+        return {c[4:]: f"{path}/{c}" for c in self.store.children(path) if c.startswith("__b=")}
+
+    def _append(self, view: dict, name: str, part: str, df: DataFrame, keys: list[Column], spread: bool = False) -> dict[str, str]:
+        """Write one run of a part and enter it in *view*; gives {bucket: path}."""
+        made = self._write_buckets(self.store.fresh(f"{name}-{part}"), df, F.pmod(F.xxhash64(*keys), F.lit(view["buckets"])).cast("int"), view["buckets"], spread)
+        view["schemas"][part] = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json()
+        held = view["parts"].setdefault(part, {})
+        for b, p in made.items():
+            held[b] = [*held.get(b, []), p]
+        return made
+
+    def _read(self, view: dict, part: str, paths: list[str]) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(view["schemas"][part]))
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _stored_schema(self, df: DataFrame) -> str:
-        return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name != "__b"]).json()
+    def _runs(self, view: dict, part: str, buckets: Iterable[str] | None = None) -> DataFrame:
+        """All runs of a part, or of some of its buckets; their rows add up."""
+        held = view["parts"].get(part, {})
+        return self._read(view, part, [p for b in (held if buckets is None else buckets) for p in held.get(b, [])])
+
+    def _few(self, df: DataFrame, made: dict[str, str]) -> DataFrame:
+        """*df*, read from one run, with a broadcast hint if its files are small."""
+        held = stored_bytes(self.spark, next(iter(made.values())).rsplit("/", 1)[0])
+        return F.broadcast(df) if held <= SMALL_DELTA else df
 
-    def _watched(self, layout: Layout, part: str, state: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], None]]:
-        """*state*, and a check of what was seen while it was written: impossible or overflown entries raise.
+    def _keys_of(self, part: str, spec: ViewSpec, layout: Layout, schemas: list[T.StructType]) -> list[Column]:
+        """What a part is bucketed by."""
+        if part == "out":
+            return [values.canonical(F.col(f"`{n}`"), kind) for (_, n), kind in zip(spec.keys, layout.key_kinds)]
+        if part == "state":
+            return [F.col(k) for k in layout.keys]
+        return [self._join_keys(spec, schemas)[part == "right"]]
 
-        Spark drops the watch from a plan it finds empty; the check then looks at what was written.
+    def _watched(self, df: DataFrame, conditions: dict[str, Column]) -> tuple[DataFrame, Callable[[], None]]:
+        """*df*, and a check of what was seen while it was computed: rows that meet a condition raise its message.
+
+        Spark drops the watch where what is made of *df* turns out empty; then the rows are counted by a job of their own.
         """
-        found = [(message, count.alias(f"f{i}")) for i, (message, count) in enumerate(faults(layout, part).items())]
-        if not found:
-            return state, lambda stored: None
+        if not conditions:
+            return df, lambda: None
         seen = Observation()
-        watched = state.observe(seen, *[c for _, c in found])
+        counted = [F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(f"f{i}") for i, c in enumerate(conditions.values())]
+        watched = df.observe(seen, *counted)
 
-        def check(stored: DataFrame) -> None:
+        def check() -> None:
             try:
                 counts = seen.get
             except Py4JJavaError:
                 counts = {}
-            if len(counts) < len(found):
-                counts = stored.agg(*[c for _, c in found]).first().asDict()
-            for i, (message, _) in enumerate(found):
+            if len(counts) < len(conditions):
+                counts = df.agg(*counted).first().asDict()
+            for i, message in enumerate(conditions):
                 if counts[f"f{i}"]:
                     raise (SumOverflow if "overflow" in message else StateError)(message)
 
@@ -339,50 +365,88 @@ class Engine:
     def _advance(self, name: str, view: dict, spec: ViewSpec, layout: Layout, schemas: list[T.StructType], bootstrap: bool) -> dict:
         """The view's entry after all changes up to now; nothing is visible before it is committed."""
         new = copy.deepcopy(view)
-        heads = {t: changelog.head(self._table(t)[1]) for t in spec.tables}
-        dirty: list[int] | None = None
-        buckets = view["buckets"]
-        keys = [F.col(k) for k in layout.keys]
-        path = ""
+        new["applied"] = {t: changelog.head(self._table(t)[1]) for t in spec.tables}
+        by = lambda part: self._keys_of(part, spec, layout, schemas)
+        rows = self._join_change(name, view, new, spec, layout, schemas, bootstrap) if spec.join else self._change(view, spec, layout, schemas, bootstrap)
+        new["changed"] = []
+        if rows is None:
+            return new
+        delta = living(layout, partial(layout, rows))
+        delta, checked = self._watched(delta, entry_faults(layout) if bootstrap else {})
+        made = self._append(new, name, "state", delta, by("state"), spread=bootstrap)
+        checked()
+        if not made and not bootstrap:
+            return new
+        came = self._read(new, "state", list(made.values()))
         if bootstrap:
-            delta = partial(layout, self._bootstrap_rows(spec, layout, schemas))
+            groups, output = finalize(layout, came)
+            groups, agreed = self._watched(groups, group_faults(layout))
+            change = zset.weighted(with_package(output(groups)))
         else:
-            rows = self._delta_rows(spec, layout, schemas, view["applied"])
-            canonical = [values.canonical(F.col(k), kind) for k, kind in zip(layout.keys, layout.key_kinds)]
-            touched = self._write_part("delta", rows, canonical, name, buckets)
-            dirty = sorted(map(int, touched))
-            if touched:
-                path = next(iter(touched.values())).rsplit("/", 1)[0]
-                delta = partial(layout, self.spark.read.schema(rows.schema).parquet(*touched.values()))
-        if bootstrap or dirty:
-            state = {}
-
-            def settle(part: str) -> None:
-                merged = delta[part] if bootstrap else merge(layout, part, self._read_part(view, part, dirty), delta[part])
-                weight = {"groups": "rows", "exact": "m"}.get(part, "w")
-                merged = merged.where(F.col(weight) != 0) if bootstrap or part != "groups" else merged
-                new["schemas"][part] = self._stored_schema(merged)
-                watched, check = self._watched(layout, part, merged)
-                made = self._write_part(part, watched, keys, name, buckets)
-                held = {} if bootstrap else {b: p for b, p in view["parts"][part].items() if int(b) not in dirty}
-                new["parts"][part] = held | made
-                state[part] = self._read_part(new, part, dirty)
-                check(state[part])
-
-            with ThreadPoolExecutor(len(layout.parts)) as pool:  # the parts are independent jobs
-                list(pool.map(settle, layout.parts))
-            output = with_package(finalize(layout, state))
-            new["schemas"]["out"] = self._stored_schema(output)
-            canonical = [values.canonical(F.col(f"`{n}`"), kind) for (_, n), kind in zip(spec.keys, layout.key_kinds)]
-            made = self._write_part("out", output, canonical, name, buckets)
-            held = {} if bootstrap else {b: p for b, p in view["parts"]["out"].items() if int(b) not in dirty}
-            new["before"] = {} if bootstrap else view["parts"]["out"]
-            new["parts"]["out"] = held | made
-        if path:
-            self.store.remove(path)
-        new["applied"] = heads
+            touched = self._few(came.select(*[F.col(k).alias(f"t{i}") for i, k in enumerate(layout.keys)]).distinct(), made)
+            held = self._runs(view, "state", made).join(touched, [F.col(k).eqNullSafe(F.col(f"t{i}")) for i, k in enumerate(layout.keys)], "left_semi")
+            sides = held.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).unionByName(came.withColumn("side", F.lit(1)))
+            is_new = F.col("side") == 1
+            merged, checked = self._watched(merge(layout, sides, ("side",)), {m: is_new & c for m, c in entry_faults(layout).items()})
+            groups, output = finalize(layout, merged, ("side",))
+            groups, agreed = self._watched(groups, {m: is_new & c for m, c in group_faults(layout).items()})
+            both = with_package(output(groups))
+            change = zset.consolidate(both.withColumn(W, F.when(is_new, 1).otherwise(-1).cast("bigint")).drop("side"))
+        new["changed"] = list(self._append(new, name, "out", change, by("out"), spread=bootstrap).values())
+        checked()
+        agreed()
+        for part in new["parts"]:
+            self._merge_runs(name, new, part, layout, by(part))
         return new
 
+    def _change(self, view: dict, spec: ViewSpec, layout: Layout, schemas: list[T.StructType], bootstrap: bool) -> DataFrame | None:
+        """Weighted rows of a view over one table that are new to it."""
+        if bootstrap:
+            rows = self._bases(spec, layout)[0]
+        else:
+            found = changelog.changes(self.spark, self._table(spec.tables[0])[1], view["applied"][spec.tables[0]])
+            if found is None:
+                return None
+            rows = self._needed(spec, layout, 0, found)
+        return self._rows(spec, layout, schemas, self._sided(rows))
+
+    def _join_change(self, name: str, view: dict, new: dict, spec: ViewSpec, layout: Layout, schemas: list[T.StructType], bootstrap: bool) -> DataFrame | None:
+        """Weighted rows of a join that are new to it; the changes of both sides are entered in *new*'s arrangements.
+
+        The change of the left side meets the right side as it was, the change of the right side the left side as it is now;
+        each only in the buckets that the change touches. Rows without join key match nothing and are not kept.
+        """
+        keys = self._join_keys(spec, schemas)
+
+        def enter(i: int) -> dict[str, str]:
+            part, t = ("left", "right")[i], spec.tables[i]
+            found = self._bases(spec, layout)[i] if bootstrap else changelog.changes(self.spark, self._table(t)[1], view["applied"][t])
+            if found is None:
+                return {}
+            rows = zset.consolidate(self._needed(spec, layout, i, found)).where(keys[i].isNotNull())
+            return self._append(new, name, part, rows, [keys[i]], spread=bootstrap)
+
+        with ThreadPoolExecutor(2) as pool:
+            left, right = pool.map(enter, (0, 1))
+        parts = []
+        if bootstrap:
+            parts.append(self._joined(spec, schemas, self._runs(new, "left"), self._runs(new, "right")))
+        else:
+            if left:
+                parts.append(self._joined(spec, schemas, self._few(self._read(new, "left", list(left.values())), left), self._runs(view, "right", left)))
+            if right:
+                parts.append(self._joined(spec, schemas, self._runs(new, "left", right), self._few(self._read(new, "right", list(right.values())), right)))
+        return self._rows(spec, layout, schemas, zset.union(*parts)) if parts else None
+
+    def _merge_runs(self, name: str, view: dict, part: str, layout: Layout, keys: list[Column]) -> None:
+        """Merge the runs of buckets that have many."""
+        many = [b for b, runs in view["parts"][part].items() if len(runs) > MAX_RUNS]
+        if many:
+            runs = self._runs(view, part, many)
+            for b in many:
+                del view["parts"][part][b]
+            self._append(view, name, part, merge(layout, runs) if part == "state" else zset.consolidate(runs), keys, spread=True)
+
     def create_view(self, name: str, sql: str) -> None:
         """Define a view and compute it once from its tables; a failure leaves nothing behind."""
         self._free_name(name, "view")
@@ -390,7 +454,7 @@ class Engine:
         if any(n.lower() == name.lower() for n in spec.outputs):
             raise UnsupportedView(f"an output column is named like the view: {name}")
         layout, schemas = self._layout(spec)
-        view = {"sql": sql, "plan": spec.fingerprint(), "format": FORMAT, "buckets": self.buckets, "tables": {t: changelog.fingerprint(s) for t, s in zip(spec.tables, schemas)}, "applied": {}, "parts": {}, "schemas": {}, "before": {}}
+        view = {"sql": sql, "plan": spec.fingerprint(), "format": FORMAT, "buckets": self._buckets_for(*self._bases(spec, layout)), "tables": {t: changelog.fingerprint(s) for t, s in zip(spec.tables, schemas)}, "applied": {}, "parts": {}, "schemas": {}, "changed": []}
         made = self._advance(name, view, spec, layout, schemas, bootstrap=True)
         self._commit(lambda m: m["views"].__setitem__(name, made))
 
@@ -416,7 +480,7 @@ class Engine:
             if view["tables"].get(t) != changelog.fingerprint(s):
                 return f"the columns of table {t} have changed"
         for part, held in view["parts"].items():
-            for path in held.values():
+            for path in {p for runs in held.values() for p in runs}:
                 if not self.store.exists(path):
                     return f"stored {part} is missing: {path}"
         return None
@@ -470,26 +534,34 @@ class Engine:
         return report + (": " + "; ".join(f"{n}: {x}" for n, x in failed.items()) if failed else "")
 
     def table(self, name: str) -> DataFrame:
-        """The view's rows as of its last refresh."""
+        """The view's rows as of its last refresh. Only buckets with several runs are added up."""
         _, view, *_ = self._sound(name)
-        return self._read_part(view, "out", None)
+        return self._output(view)
+
+    def _output(self, view: dict) -> DataFrame:
+        held = view["parts"].get("out", {})
+        settled = [b for b, runs in held.items() if len(runs) == 1]
+        rows = self._runs(view, "out", settled).drop(W)
+        if len(settled) < len(held):
+            rows = rows.unionByName(zset.consolidate(self._runs(view, "out", [b for b in held if b not in set(settled)])).drop(W))
+        return rows
 
     def last_changes(self, name: str) -> DataFrame:
         """What the last refresh changed in the output: rows taken out (_w -1) and put in (_w 1)."""
         _, view, *_ = self._sound(name)
-        now, before = view["parts"]["out"], view["before"]
-        changed = {b for b in set(now) | set(before) if now.get(b) != before.get(b)}
-        old = self._read_part(view | {"parts": {"out": {b: p for b, p in before.items() if b in changed}}}, "out", None)
-        new = self._read_part(view | {"parts": {"out": {b: p for b, p in now.items() if b in changed}}}, "out", None)
-        return zset.diff_output(old, new)
+        return self._read(view, "out", view["changed"])
 
     def drop_view(self, name: str) -> None:
         """Remove a view, broken or not, with its state."""
         known, view = self._view(name)
         self._commit(lambda m: m["views"].pop(known))
-        for held in [*view["parts"].values()]:
-            for folder in {p.rsplit("/", 1)[0] for p in held.values()}:
-                self.store.remove(folder)
+        for folder in self._folders(view):
+            self.store.remove(folder)
+
+    @staticmethod
+    def _folders(view: dict) -> set[str]:
+        runs = [p for held in view["parts"].values() for runs in held.values() for p in runs]
+        return {p.rsplit("/", 1)[0] for p in [*runs, *view["changed"]]}
 
     def rename_view(self, name: str, new: str) -> None:
         raise ViewError(f"view {name} cannot be renamed; drop it and create {new}")
@@ -497,9 +569,10 @@ class Engine:
     def recompute(self, name: str) -> DataFrame:
         """The view's query evaluated from the base tables as they are now, without its state."""
         known, view, spec, layout, schemas = self._sound(name)
-        parts = partial(layout, self._bootstrap_rows(spec, layout, schemas))
-        empty = {p: merge(layout, p, d.limit(0), d) for p, d in parts.items()}
-        return with_package(finalize(layout, empty))
+        bases = self._bases(spec, layout)
+        rows = self._joined(spec, schemas, *bases) if spec.join else self._sided(bases[0])
+        groups, output = finalize(layout, living(layout, partial(layout, self._rows(spec, layout, schemas, rows))))
+        return with_package(output(groups))
 
     # housekeeping
 
@@ -511,11 +584,10 @@ class Engine:
         folded = [s for s in meta["segments"] if s[0] <= upto]
         if not folded:
             return 0
-        path = self.store.fresh(f"{known}-snapshot")
-        zset.consolidate(changelog.as_of(self.spark, meta, upto)).write.parquet(path)
+        snapshot = self._snapshot(known, meta, zset.consolidate(changelog.as_of(self.spark, meta, upto)))
 
         def change(m: dict) -> None:
-            m["tables"][known]["snapshot"] = path
+            m["tables"][known]["snapshot"] = snapshot
             m["tables"][known]["segments"] = [s for s in meta["segments"] if s[0] > upto]
 
         self._commit(change)
@@ -523,9 +595,9 @@ class Engine:
 
     def vacuum(self) -> int:
         """Delete data no manifest entry refers to; not while another process reads older results."""
-        used = {p for t in self.manifest["tables"].values() for p in [t["snapshot"], *[p for _, p in t["segments"]]] if p}
+        used = {p for t in self.manifest["tables"].values() for p in [*[x.rsplit("/", 1)[0] for x in (t["snapshot"] or {}).values()], *[p for _, p in t["segments"]]]}
         for v in self.manifest["views"].values():
-            used |= {p.rsplit("/", 1)[0] for held in [*v["parts"].values(), v["before"]] for p in held.values()}
+            used |= self._folders(v)
         gone = [n for n in self.store.children(f"{self.store.root}/data") if f"{self.store.root}/data/{n}" not in used]
         for n in gone:
             self.store.remove(f"{self.store.root}/data/{n}")

@@ -1,9 +1,14 @@
 """Exact sums of doubles that merge and retract.
 
-A finite double is an integer times a power of two. Values are added up per binary exponent as decimal(38,0) integers,
-which is exact in any order and any grouping and undone by a negative weight; the exponent buckets of a group, at most about
-2,100, are turned into one correctly rounded double in the end. The bucket of x is k = floor(log2 |x|), or one off where the
-logarithm rounds; x * 2^(53 - k) is an integer below 2^55 either way.
+A finite double is an integer times a power of two. Values are added up in buckets of WIDTH binary exponents as
+decimal(38,0) integers, which is exact in any order and any grouping and undone by a negative weight; the buckets of a group,
+at most 66, are turned into one correctly rounded double in the end. The exponent of x is e = floor(log2 |x|), or one off
+where the logarithm rounds; x * 2^(53 - e) is an integer below 2^55 either way. Its bucket is k, the multiple of WIDTH at or
+below e, and x * 2^(53 - k) an integer below 2^87: 2^39 rows fit.
+
+Sums of one bucket or of two that are neighbours, which is what values of like size give, are rounded on the JVM side: they
+are one decimal, and scaling its nearest double by a power of two is exact outside the subnormal range. Only the rest, and
+means of large sums, reach Python.
 """
 
 from __future__ import annotations
@@ -14,17 +19,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def bucket(x: Column) -> Column:
-    """The bucket of a finite double other than 0, else NULL."""
+#: Binary exponents of a bucket.
+WIDTH = 32
+
+
+def exponent(x: Column) -> Column:
+    """About the binary exponent of a finite double other than 0, else NULL."""
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))) & (x != 0)
     return F.when(finite, F.floor(F.log2(F.abs(x))).cast("int"))
 
 
-def mantissa(x: Column, k: Column) -> Column:
-    """x * 2^(53 - k) as an integer; the scaling is done in two halves, so that no step overflows."""
-    shift = F.lit(53) - k
+def bucket(e: Column) -> Column:
+    """The bucket of an exponent."""
+    return (F.floor(e / WIDTH) * WIDTH).cast("int")
+
+
+def mantissa(x: Column, e: Column) -> Column:
+    """x * 2^(53 - bucket) as decimal(31,0); the scaling is done in two halves, so that no step overflows."""
+    shift = F.lit(53) - e
+    half = F.floor(shift / 2).cast("int")
+    whole = (x * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (shift - half).cast("double"))).cast("bigint")
+    up = F.pow(F.lit(2.0), (e - bucket(e)).cast("double")).cast("bigint")
+    return (whole.cast("decimal(20,0)") * up.cast("decimal(11,0)")).cast("decimal(31,0)")
+
+
+def quick(whole: Column, buckets: Column) -> Column:
+    """(integer sum + bucket sums) rounded once where that can be done in the JVM, else NULL. *buckets*: sorted array of (k, m)."""
+    first, second = F.get(buckets, F.lit(0)), F.get(buckets, F.lit(1))
+    n = F.size(buckets)
+    both = F.try_add(F.try_multiply(second["m"], F.lit(1 << WIDTH).cast("decimal(10,0)")), first["m"])
+    one = F.when(n == 1, first["m"]).when((n == 2) & (second["k"] - first["k"] == WIDTH), both)
+    shift = first["k"] - 53
     half = F.floor(shift / 2).cast("int")
-    return (x * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (shift - half).cast("double"))).cast("bigint")
+    value = one.cast("double") * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (shift - half).cast("double"))
+    plain = (one == 0) | ((F.abs(value) > F.lit(2.0**-1000)) & (F.abs(value) < F.lit(float("inf"))))
+    return F.when(n == 0, whole.cast("double")).when((whole == 0) & plain, value)
 
 
 def _ratio(numerator: int, shift: int, count: int) -> float:

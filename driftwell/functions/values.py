@@ -33,6 +33,17 @@ def kind_of(data_type: T.DataType) -> str:
     return "other"
 
 
+def nullable(data_type: T.DataType) -> T.DataType:
+    """The type with everything inside it nullable, as stored data is read back."""
+    if isinstance(data_type, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True, f.metadata) for f in data_type.fields])
+    if isinstance(data_type, T.ArrayType):
+        return T.ArrayType(nullable(data_type.elementType), True)
+    if isinstance(data_type, T.MapType):
+        return T.MapType(nullable(data_type.keyType), nullable(data_type.valueType), True)
+    return data_type
+
+
 def affinity_of(field: T.StructField) -> str:
     """The affinity a column compares by; a dynamic column names its own in metadata, BLOB (none) by default."""
     kind = kind_of(field.dataType)

@@ -1,17 +1,20 @@
 """Grouped aggregates with retraction: state from weighted rows, merged state, and output.
 
-State of a view comes in parts, all keyed by the canonical group key k0, k1, ..:
+State of a view is one table, keyed by the canonical group key k0, k1, .. and, where the view needs more than counters, by
+the sort of entry p:
 
-    groups   rows, k<i>_real (rows whose dynamic key was a real), and per column that is counted or summed
-             c<j>_n (not NULL), c<j>_int (sum of integers, decimal(38,0)), c<j>_apx (reals), c<j>_pos, c<j>_neg (infinities)
-    exact    col, k, m: exponent buckets of the real sums (functions.exact)
-    ext<j>   v, w: the multiset of values of a column under MIN or MAX
+    p = 0      the group: rows, k<i>_real (rows whose dynamic key was a real), and per column that is counted or summed
+               c<j>_n (not NULL), c<j>_int (sum of integers, decimal(38,0)), c<j>_apx (reals), c<j>_pos, c<j>_neg (infinities)
+    p = 1      col, k, m: buckets of the real sums (functions.exact)
+    p = 2 + j  v<j>, w: the multiset of values of column j under MIN or MAX
 
-Parts add up: state of all rows = merge(state of some rows, state of the others), with negative weights for rows removed.
+Entries add up: state of all rows = merge(state of some rows, state of the others), with negative weights for rows removed.
+One scan and one shuffle make all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +69,19 @@ class Layout:
         return self._using("min", "max")
 
     @property
-    def parts(self) -> list[str]:
-        return ["groups", *(["exact"] if self.real else []), *[f"ext{j}" for j in self.ordered]]
+    def sorts(self) -> bool:
+        """Whether there are entries besides those of groups."""
+        return bool(self.real or self.ordered)
+
+    @property
+    def entry(self) -> list[str]:
+        """Columns that identify an entry of the state."""
+        return [*self.keys, *(["p"] if self.sorts else []), *(["col", "k"] if self.real else []), *[f"v{j}" for j in self.ordered]]
+
+    @property
+    def sums(self) -> list[str]:
+        """Columns of the state that add up."""
+        return [*self.additive, *(["m"] if self.real else []), *(["w"] if self.ordered else [])]
 
     def counters(self, j: int) -> list[str]:
         wanted = _COUNTERS if j in self.real else _COUNTERS[:2] if j in self.summed else _COUNTERS[:1]
@@ -88,55 +102,66 @@ def _added(value: Column) -> Column:
     return F.sum(value).cast("decimal(38,0)")
 
 
-def partial(layout: Layout, rows: DataFrame) -> dict[str, DataFrame]:
-    """State parts of weighted rows with columns k<i> (raw keys), v<j> (inputs) and _w."""
+def _summed(columns: list[str]) -> list[Column]:
+    return [(_added(F.col(c)) if c.endswith("_int") or c == "m" else F.sum(c)).alias(c) for c in columns]
+
+
+def partial(layout: Layout, rows: DataFrame) -> DataFrame:
+    """State of weighted rows with columns k<i> (raw keys), v<j> (inputs) and _w."""
     keys = [values.canonical(F.col(k), kind).alias(k) for k, kind in zip(layout.keys, layout.key_kinds)]
-    w = F.col(W)
-    aggregates = [F.sum(w).alias("rows")]
-    aggregates += [F.sum(F.when(F.col(f"x{i}") == values.REAL, w).otherwise(F.lit(0))).alias(f"k{i}_real") for i, kind in enumerate(layout.key_kinds) if kind == "dyn"]
     given = [F.col(k)["c"].alias(f"x{i}") for i, (k, kind) in enumerate(zip(layout.keys, layout.key_kinds)) if kind == "dyn"]
     prepared = []
     for j in sorted(set(layout.counted) | set(layout.ordered)):
         prepared.append(F.col(f"v{j}"))
         if j in layout.summed:
             whole, real = values.number_parts(F.col(f"v{j}"), layout.kinds[j])
-            prepared += [whole.alias(f"i{j}"), real.alias(f"r{j}")]
+            prepared += [whole.alias(f"i{j}"), real.alias(f"r{j}")] + ([exact.exponent(real).alias(f"e{j}")] if j in layout.real else [])
     base = rows.select(*keys, *given, *prepared, W)
-    zero = F.lit(0).cast("bigint")
+    w, zero, nothing = F.col(W), F.lit(0).cast("bigint"), F.lit(0).cast("decimal(38,0)")
+    made = {"rows": w} | {f"k{i}_real": F.when(F.col(f"x{i}") == values.REAL, w).otherwise(zero) for i, kind in enumerate(layout.key_kinds) if kind == "dyn"}
     for j in layout.counted:
-        present = ~values.is_null(F.col(f"v{j}"), layout.kinds[j])
-        made = {"n": F.sum(F.when(present, w).otherwise(zero))}
+        made[f"c{j}_n"] = F.when(~values.is_null(F.col(f"v{j}"), layout.kinds[j]), w).otherwise(zero)
         if j in layout.summed:
-            made["int"] = _added(F.when(F.col(f"i{j}").isNotNull(), _exact_product(F.col(f"i{j}"), w)).otherwise(F.lit(0).cast("decimal(38,0)")))
+            made[f"c{j}_int"] = F.when(F.col(f"i{j}").isNotNull(), _exact_product(F.col(f"i{j}"), w)).otherwise(nothing)
         if j in layout.real:
             r = F.col(f"r{j}")
-            made |= {"apx": F.sum(F.when(r.isNotNull(), w).otherwise(zero)), "pos": F.sum(F.when(r == float("inf"), w).otherwise(zero)), "neg": F.sum(F.when(r == float("-inf"), w).otherwise(zero))}
-        aggregates += [made[x].alias(f"c{j}_{x}") for x in made]
-    out = {"groups": base.groupBy(*layout.keys).agg(*aggregates)}
-    if layout.real:
-        each = F.array(*[F.struct(F.lit(j).alias("col"), F.col(f"r{j}").alias("x")) for j in layout.real])
-        spread = base.select(*layout.keys, W, F.inline(each)).withColumn("k", exact.bucket(F.col("x"))).where(F.col("k").isNotNull())
-        spread = spread.withColumn("m", exact.mantissa(F.col("x"), F.col("k")))
-        out["exact"] = spread.groupBy(*layout.keys, "col", "k").agg(_added(_exact_product(F.col("m"), w)).alias("m"))
+            made |= {f"c{j}_apx": F.when(r.isNotNull(), w).otherwise(zero), f"c{j}_pos": F.when(r == float("inf"), w).otherwise(zero), f"c{j}_neg": F.when(r == float("-inf"), w).otherwise(zero)}
+    if not layout.sorts:
+        return base.select(*layout.keys, *[c.alias(n) for n, c in made.items()]).groupBy(*layout.keys).agg(*_summed(layout.additive))
+    types = {n: "decimal(38,0)" if n.endswith("_int") or n == "m" else "bigint" for n in layout.sums} | {"p": "int", "col": "int", "k": "int"}
+    kinds = {f"v{j}": base.schema[f"v{j}"].dataType for j in layout.ordered}
+    names = [n for n in [*layout.entry, *layout.sums] if n not in layout.keys]
+
+    def entry(p: int, **held: Column) -> Column:
+        return F.struct(*[held.get(n, F.lit(p) if n == "p" else F.lit(None)).cast(kinds.get(n) or types[n]).alias(n) for n in names])
+
+    entries = [entry(0, **made)]
+    for j in layout.real:
+        e = F.col(f"e{j}")
+        entries.append(entry(1, col=F.lit(j), k=exact.bucket(e), m=(exact.mantissa(F.col(f"r{j}"), e) * w.cast("decimal(18,0)")).cast("decimal(38,0)")))
     for j in layout.ordered:
-        there = base.where(~values.is_null(F.col(f"v{j}"), layout.kinds[j]))
-        out[f"ext{j}"] = there.groupBy(*layout.keys, F.col(f"v{j}").alias("v")).agg(F.sum(w).alias("w"))
-    return out
-
-
-def merge(layout: Layout, part: str, old: DataFrame, delta: DataFrame) -> DataFrame:
-    """One part's state after *delta*; entries that have come to nothing are dropped."""
-    both = old.unionByName(delta)
-    if part == "groups":
-        added = [(_added(F.col(c)) if c.endswith("_int") else F.sum(c)).alias(c) for c in layout.additive]
-        merged = both.groupBy(*layout.keys).agg(*added)
-        nothing = F.col("rows") == 0
-        for c in layout.additive[1:]:
-            nothing = nothing & (F.col(c) == 0)
-        return merged.where(~nothing)
-    if part == "exact":
-        return both.groupBy(*layout.keys, "col", "k").agg(_added(F.col("m")).alias("m")).where(F.col("m") != 0)
-    return both.groupBy(*layout.keys, "v").agg(F.sum("w").alias("w")).where(F.col("w") != 0)
+        there = ~values.is_null(F.col(f"v{j}"), layout.kinds[j])
+        entries.append(entry(2 + j, **{f"v{j}": F.when(there, F.col(f"v{j}")), "w": F.when(there, w)}))
+    used = F.col("p") == 0
+    if layout.real:
+        used = used | F.col("m").isNotNull()
+    if layout.ordered:
+        used = used | F.col("w").isNotNull()
+    spread = base.select(*layout.keys, F.inline(F.array(*entries))).where(used)
+    return spread.groupBy(*layout.entry).agg(*_summed(layout.sums))
+
+
+def merge(layout: Layout, state: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Entries of *state* added up (per *beside*, columns it has besides); entries that have come to nothing are dropped."""
+    return living(layout, state.groupBy(*beside, *layout.entry).agg(*_summed(layout.sums)))
+
+
+def living(layout: Layout, state: DataFrame) -> DataFrame:
+    """Entries that are not nothing."""
+    left = F.lit(False)
+    for c in layout.sums:
+        left = left | (F.coalesce(F.col(c), F.lit(0)) != 0)
+    return state.where(left)
 
 
 def _output(layout: Layout, a: Aggregate) -> Column:
@@ -151,14 +176,18 @@ def _output(layout: Layout, a: Aggregate) -> Column:
         return F.coalesce(found, values.int_cell(F.lit(None).cast("bigint"))) if kind == "dyn" else found
     n, whole = F.col(f"c{j}_n"), F.col(f"c{j}_int")
     none = F.lit(None).cast("double")
+    one = F.lit(1).cast("bigint")
     if j in layout.real:
         infinite = F.when((F.col(f"c{j}_pos") > 0) & (F.col(f"c{j}_neg") > 0), none).when(F.col(f"c{j}_pos") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
         finite = (F.col(f"c{j}_pos") == 0) & (F.col(f"c{j}_neg") == 0)
-        ks, ms = F.col(f"buckets{j}")["k"], F.col(f"buckets{j}")["m"]
-        real = lambda count: F.when(finite, exact.rounded(whole, ks, ms, count)).otherwise(infinite)
+        buckets, at_once = F.col(f"buckets{j}"), exact.quick(whole, F.col(f"buckets{j}"))
+        slow = lambda count: exact.rounded(whole, buckets["k"], buckets["m"], count)
+        real = lambda count: F.when(finite, F.coalesce(at_once, slow(F.when(at_once.isNull(), count))) if count is one else slow(count)).otherwise(infinite)
     else:
-        real = lambda count: whole.cast("double") if count is one else exact.rounded(whole, F.lit(None).cast("array<int>"), F.lit(None).cast("array<decimal(38,0)>"), count)
-    one = F.lit(1).cast("bigint")
+        no_k, no_m = F.lit(None).cast("array<int>"), F.lit(None).cast("array<decimal(38,0)>")
+        small = (F.abs(whole) <= 2**53) & (n <= 2**53)  # both are doubles as they are: their quotient is rounded once
+        mean = lambda count: F.when(small, whole.cast("double") / count.cast("double")).otherwise(exact.rounded(whole, no_k, no_m, F.when(~small, count)))
+        real = lambda count: whole.cast("double") if count is one else mean(count)
     if a.kind == "total":
         return F.when(n > 0, real(one)).otherwise(F.lit(0.0)) if j not in layout.real else F.when(n == 0, F.lit(0.0)).otherwise(real(one))
     if a.kind == "avg":
@@ -172,38 +201,52 @@ def _output(layout: Layout, a: Aggregate) -> Column:
     return F.when(n > 0, real(one))
 
 
-def finalize(layout: Layout, state: dict[str, DataFrame]) -> DataFrame:
-    """Output rows of *state*: the parts meet by key in one shuffle."""
-    union, made = state["groups"], [(F.max(c)).alias(c) for c in layout.additive]
-    if "exact" in state:
-        union = union.unionByName(state["exact"], allowMissingColumns=True)
-        for j in layout.real:
-            made.append(F.collect_list(F.when(F.col("col") == j, F.struct("k", "m"))).alias(f"buckets{j}"))
+def finalize(layout: Layout, state: DataFrame, beside: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(groups of merged *state* per key, what turns them into output rows). Groups without rows are among them, for group_faults()."""
+    made = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in layout.additive]
+    at = F.col("p") if layout.sorts else None
+    if layout.real:
+        made += [F.array_sort(F.collect_list(F.when((at == 1) & (F.col("col") == j) & (F.col("m") != 0), F.struct("k", "m")))).alias(f"buckets{j}") for j in layout.real]
     for j in layout.ordered:
-        part = state[f"ext{j}"].where(F.col("w") > 0).select(*layout.keys, F.col("v").alias(f"e{j}"))
-        union = union.unionByName(part, allowMissingColumns=True)
+        held = F.when((at == 2 + j) & (F.col("w") > 0), F.col(f"v{j}"))
         if layout.kinds[j] == "dyn":
-            by = values.sort_key(F.col(f"e{j}"), "dyn")
-            made += [F.min_by(f"e{j}", F.when(F.col(f"e{j}").isNotNull(), by)).alias(f"min{j}"), F.max_by(f"e{j}", F.when(F.col(f"e{j}").isNotNull(), by)).alias(f"max{j}")]
+            by = F.when(held.isNotNull(), values.sort_key(F.col(f"v{j}"), "dyn"))
+            made += [F.min_by(held, by).alias(f"min{j}"), F.max_by(held, by).alias(f"max{j}")]
         else:
-            made += [F.min(f"e{j}").alias(f"min{j}"), F.max(f"e{j}").alias(f"max{j}")]
-    grouped = union.groupBy(*layout.keys).agg(*made).where(F.col("rows") > 0)
-    keys = [values.key_output(F.col(k), kind, F.col(f"{k}_real") if kind == "dyn" else F.lit(0)).alias(name) for k, kind, (_, name) in zip(layout.keys, layout.key_kinds, layout.spec.keys)]
-    return grouped.select(*keys, *[_output(layout, a).alias(a.output) for a in layout.spec.aggregates])
-
-
-def faults(layout: Layout, part: str) -> dict[str, Column]:
-    """Aggregates that count impossible or overflown entries of a part, by the message each stands for."""
-    if part == "groups":
-        bad = F.col("rows") <= 0
-        for j in layout.counted:
-            bad = bad | (F.col(f"c{j}_n") < 0) | (F.col(f"c{j}_n") > F.col("rows"))
-        found = {"a group with fewer rows than none: a row was removed that is not there": F.sum(bad.cast("int"))}
-        for j in layout._using("sum"):
-            only_int = F.lit(True) if j not in layout.real else (F.col(f"c{j}_apx") == 0) if layout.kinds[j] == "dyn" else F.lit(False)
-            over = (F.col(f"c{j}_int") > F.lit(2**63 - 1)) | (F.col(f"c{j}_int") < F.lit(-(2**63)))
-            found[f"integer overflow in SUM({layout.columns[j].name})"] = F.sum((only_int & over).cast("int"))
-        return found
-    if part.startswith("ext"):
-        return {"a value under MIN or MAX was removed that is not there": F.sum((F.col("w") < 0).cast("int"))}
-    return {}
+            made += [F.min(held).alias(f"min{j}"), F.max(held).alias(f"max{j}")]
+    if layout.sorts:
+        made.append(F.count(F.when(at != 0, True)).alias("others"))
+    grouped = state.groupBy(*beside, *layout.keys).agg(*made)
+
+    def output(groups: DataFrame) -> DataFrame:
+        keys = [values.key_output(F.col(k), kind, F.col(f"{k}_real") if kind == "dyn" else F.lit(0)).alias(name) for k, kind, (_, name) in zip(layout.keys, layout.key_kinds, layout.spec.keys)]
+        return groups.where(F.col("rows") > 0).select(*beside, *keys, *[_output(layout, a).alias(a.output) for a in layout.spec.aggregates])
+
+    return grouped, output
+
+
+def entry_faults(layout: Layout) -> dict[str, Column]:
+    """Conditions of impossible entries of a merged state, by the message each stands for."""
+    group = F.col("p") == 0 if layout.sorts else F.lit(True)
+    bad = F.col("rows") <= 0
+    for j in layout.counted:
+        bad = bad | (F.col(f"c{j}_n") < 0) | (F.col(f"c{j}_n") > F.col("rows"))
+    found = {"a group with fewer rows than none: a row was removed that is not there": group & bad}
+    for j in layout._using("sum"):
+        only_int = F.lit(True) if j not in layout.real else (F.col(f"c{j}_apx") == 0) if layout.kinds[j] == "dyn" else F.lit(False)
+        over = (F.col(f"c{j}_int") > F.lit(2**63 - 1)) | (F.col(f"c{j}_int") < F.lit(-(2**63)))
+        found[f"integer overflow in SUM({layout.columns[j].name})"] = group & only_int & over
+    if layout.ordered:
+        found["a value under MIN or MAX was removed that is not there"] = F.coalesce(F.col("w") < 0, F.lit(False))
+    return found
+
+
+def group_faults(layout: Layout) -> dict[str, Column]:
+    """Conditions of groups whose entries contradict each other: something is left where nothing was counted."""
+    if not layout.sorts:
+        return {}
+    found = {"a group without rows has values left": (F.col("rows") == 0) & (F.col("others") > 0)}
+    for j in layout.real:
+        finite = F.col(f"c{j}_apx") - F.col(f"c{j}_pos") - F.col(f"c{j}_neg")
+        found[f"the sum of {layout.columns[j].name} has a residue without values"] = (finite == 0) & (F.size(f"buckets{j}") > 0)
+    return found

@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-FORMAT = 1
+FORMAT = 2
 
 
 @dataclass(frozen=True)

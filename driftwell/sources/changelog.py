@@ -2,13 +2,16 @@
 
 A table is its snapshot (rows with weights, as of a log position) and the log segments after it. Every append is one segment
 with the next position; positions are never used again. Readers choose a position and see the table as of it.
+
+The snapshot lies in hash buckets of the columns in "by": the first unique key, or all columns where there is none. A row
+that is removed or replaced names its bucket, so only those buckets are read to find it.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +52,20 @@ def read(spark: SparkSession, meta: dict, paths: list[str]) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def as_of(spark: SparkSession, meta: dict, position: int | None = None) -> DataFrame:
-    """Weighted rows of the table as of *position*, by default now; weights of one row may lie in several places."""
-    paths = ([meta["snapshot"]] if meta["snapshot"] else []) + [p for n, p in meta["segments"] if position is None or n <= position]
-    return read(spark, meta, paths)
+def bucket_of(meta: dict, columns: list[Column] | None = None) -> Column:
+    """The snapshot bucket of a row; *columns* stand for the canonical values of the key where given."""
+    kinds = {f.name: values.kind_of(f.dataType) for f in schema_of(meta).fields}
+    own = columns or [values.canonical(F.col(f"`{c}`"), kinds[c]) for c in meta["by"]]
+    return F.pmod(F.xxhash64(*own), F.lit(meta["buckets"])).cast("int")
+
+
+def as_of(spark: SparkSession, meta: dict, position: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """Weighted rows of the table as of *position*, by default now; weights of one row may lie in several places.
+
+    *buckets* leaves out other buckets of the snapshot; the log, which is folded away from time to time, is read whole.
+    """
+    held = [p for b, p in (meta["snapshot"] or {}).items() if buckets is None or int(b) in buckets]
+    return read(spark, meta, held + [p for n, p in meta["segments"] if position is None or n <= position])
 
 
 def head(meta: dict) -> int:
@@ -69,21 +82,36 @@ def _row_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != W]))
 
 
-def missing_rows(spark: SparkSession, meta: dict, delta: DataFrame) -> DataFrame:
-    """Rows whose weight would fall below 0 if *delta* were applied now."""
+def missing_rows(spark: SparkSession, meta: dict, delta: DataFrame, buckets: list[int] | None = None) -> DataFrame:
+    """Rows whose weight would fall below 0 if *delta*, written data of *buckets*, were applied now."""
     removed = consolidate(delta).where(F.col(W) < 0)
     wanted = broadcast_if_small(_row_hash(removed).select("__h").distinct())
-    there = _row_hash(as_of(spark, meta)).join(wanted, "__h", "left_semi").drop("__h")
+    there = _row_hash(as_of(spark, meta, buckets=buckets)).join(wanted, "__h", "left_semi").drop("__h")
     return consolidate(union(there, removed)).where(F.col(W) < 0)
 
 
+def unique_keys(meta: dict, key: list[str], rows: DataFrame) -> DataFrame:
+    """The values of a unique key among *rows*, as __n0.., each as often as it is there; NULL is no key."""
+    kinds = {f.name: values.kind_of(f.dataType) for f in schema_of(meta).fields}
+    given = rows.select(*[values.join_key(F.col(f"`{c}`"), kinds[c]).alias(f"__n{i}") for i, c in enumerate(key)])
+    for c in given.columns:
+        given = given.where(F.col(c).isNotNull())
+    return given
+
+
 def replaced_rows(spark: SparkSession, meta: dict, rows: DataFrame) -> DataFrame:
-    """Live rows that share a unique key (NULL shares nothing) with *rows*, with weight -1; a row hit by two keys once."""
-    held, hits = as_of(spark, meta), None
-    schema = schema_of(meta)
+    """Live rows that share a unique key (NULL shares nothing) with *rows*, with weight -1; a row hit by two keys once.
+
+    Rows that share the key the snapshot lies by are looked for in their buckets only.
+    """
+    hits = None
+    kinds = {f.name: values.kind_of(f.dataType) for f in schema_of(meta).fields}
     for key in meta["unique"]:
-        kinds = {f.name: values.kind_of(f.dataType) for f in schema.fields}
-        given = rows.select(*[values.join_key(F.col(f"`{c}`"), kinds[c]).alias(f"__n{i}") for i, c in enumerate(key)]).distinct()
+        given = unique_keys(meta, key, rows).distinct()
+        buckets = None
+        if key == meta["by"]:  # there are no more bucket numbers than buckets
+            buckets = [r[0] for r in given.select(bucket_of(meta, [F.col(c) for c in given.columns])).distinct().collect()]
+        held = as_of(spark, meta, buckets=buckets)
         same = [values.join_key(F.col(f"`{c}`"), kinds[c]) == F.col(f"__n{i}") for i, c in enumerate(key)]
         found = consolidate(held.join(broadcast_if_small(given), same, "left_semi"))  # only rows with such a key are shuffled
         hits = found if hits is None else hits.unionByName(found)

@@ -10,6 +10,7 @@ from driftwell.engine import Engine
 from driftwell.functions import values
 from driftwell.operators import zset
 from driftwell.operators.zset import W
+from driftwell.sources import changelog
 from driftwell.plans.errors import BrokenView, IllegalChange, StateError, SumOverflow, UnsupportedView, ViewError
 
 T = "k string, v long, r double"
@@ -188,8 +189,8 @@ def test_broken_views_say_why_and_can_be_dropped(spark):
         engine.create_view(f"w{i}", "SELECT k, COUNT(*) AS n FROM t GROUP BY k")
     engine._commit(lambda m: m["views"]["w0"].__setitem__("plan", "tampered"))
     engine._commit(lambda m: m["views"]["w1"].__setitem__("format", 0))
-    for path in engine.manifest["views"]["w2"]["parts"]["groups"].values():
-        engine.store.remove(path)
+    for runs in engine.manifest["views"]["w2"]["parts"]["state"].values():
+        engine.store.remove(runs[0])
     assert "different plan" in engine.broken("w0") and "format" in engine.broken("w1") and "is missing" in engine.broken("w2")
     schema = spark.createDataFrame([], T + ", extra string").schema
     engine.redeclare_table("t", schema)
@@ -223,7 +224,7 @@ def test_a_crash_before_the_commit_changes_nothing(spark, monkeypatch):
     assert engine.refresh("w") and engine.table("w").first().n == 2
 
 
-def test_only_dirty_buckets_are_rewritten(spark):
+def test_a_refresh_appends_to_touched_buckets_and_many_runs_are_merged(spark, monkeypatch):
     engine = Engine(spark, buckets=8)
     engine.create_table("t", spark.createDataFrame([(f"k{i}", i, None) for i in range(64)], T))
     engine.create_view("w", "SELECT k, COUNT(*) AS n, MAX(v) AS hi FROM t GROUP BY k")
@@ -232,7 +233,108 @@ def test_only_dirty_buckets_are_rewritten(spark):
     engine.refresh("w")
     after = engine.manifest["views"]["w"]["parts"]
     for part in before:
-        assert sum(before[part][b] != after[part][b] for b in before[part]) == 1
+        grown = [b for b in before[part] if before[part][b] != after[part][b]]
+        assert len(grown) == 1 and after[part][grown[0]][:-1] == before[part][grown[0]]
+    assert {tuple(r) for r in engine.last_changes("w").collect()} == {("k1", 1, 1, -1), ("k1", 2, 99, 1)}
+    monkeypatch.setattr("driftwell.engine.MAX_RUNS", 2)
+    for v in (100, 7):
+        engine.insert("t", spark.createDataFrame([("k1", v, None)], T))
+        engine.refresh("w")
+    assert all(len(runs) <= 2 for part in engine.manifest["views"]["w"]["parts"].values() for runs in part.values())
+    engine.delete("t", spark.createDataFrame([("k1", 100, None), ("k1", 1, None)], T))
+    engine.refresh("w")
+    assert {tuple(r) for r in engine.table("w").where("k = 'k1'").collect()} == {("k1", 2, 99)} and engine.table("w").count() == 64
+
+
+def files_read(df):
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def test_a_join_refresh_reads_only_matching_buckets_of_the_other_side(spark, monkeypatch):
+    engine = Engine(spark, buckets=16)
+    engine.create_table("l", spark.createDataFrame([(i, i % 40) for i in range(200)], "id long, j long"))
+    engine.create_table("r", spark.createDataFrame([(i, f"g{i % 3}") for i in range(40)] + [(None, "null")], "j long, g string"))
+    engine.create_view("w", "SELECT g, COUNT(*) AS n, SUM(id) AS s FROM l JOIN r ON l.j = r.j GROUP BY g")
+    read = []
+    plain = Engine._runs
+    monkeypatch.setattr(Engine, "_runs", lambda self, view, part, buckets=None: read.append((part, None if buckets is None else len(list(buckets)))) or plain(self, view, part, buckets))
+    engine.insert("l", spark.createDataFrame([(1000, 5), (1001, None)], "id long, j long"))
+    engine.refresh("w")
+    assert ("right", 1) in read and not any(part == "left" for part, _ in read)
+    read.clear()
+    engine.delete("r", spark.createDataFrame([(7, "g1")], "j long, g string"))
+    engine.refresh("w")
+    assert ("left", 1) in read and not any(part == "right" for part, _ in read)
+    left = [(i, i % 40) for i in range(200)] + [(1000, 5)]
+    right = {i: f"g{i % 3}" for i in range(40) if i != 7}
+    wanted = Counter()
+    for g in ("g0", "g1", "g2"):
+        mine = [i for i, j in left if right.get(j) == g]
+        wanted[repr((g, len(mine), sum(mine)))] = 1
+    assert rows_of(engine.table("w")) == wanted
+
+
+def test_removed_rows_are_looked_for_in_their_buckets(spark):
+    engine = Engine(spark, buckets=16)
+    engine.create_table("t", spark.createDataFrame([(i, i, None) for i in range(300)], "k long, v long, r double"), unique=[["k"]])
+    meta = engine.manifest["tables"]["t"]
+    found = changelog.as_of(spark, meta, buckets=[3])
+    assert len(files_read(found)) == 1 and 0 < found.count() < 100
+    engine.delete("t", spark.createDataFrame([(7, 7, None)], "k long, v long, r double"))
+    with pytest.raises(IllegalChange):
+        engine.delete("t", spark.createDataFrame([(7, 7, None)], "k long, v long, r double"))
+    engine.insert("t", spark.createDataFrame([(7, 8, None)], "k long, v long, r double"))
+    engine.compact("t")
+    assert engine.base("t").count() == 300 and len(engine.manifest["tables"]["t"]["snapshot"]) == 16
+
+
+def cells(spark, rows):
+    """Rows of (id, value) as cells by Python type."""
+    raw = spark.createDataFrame([(i, "NULL" if v is None else type(v).__name__, v if isinstance(v, int) else None, v if isinstance(v, float) else None, v if isinstance(v, str) else None) for i, v in rows], "id long, c string, i long, r double, t string")
+    cell = F.when(F.col("c") == "int", values.int_cell(F.col("i"))).when(F.col("c") == "float", values.real_cell(F.col("r"))).when(F.col("c") == "str", values.text_cell(F.col("t"))).otherwise(values.int_cell(F.lit(None).cast("long")))
+    return raw.select("id", cell.alias("k"))
+
+
+def test_replace_delete_and_update_with_dynamic_columns(spark):
+    engine = Engine(spark, buckets=3)
+    engine.create_table("t", cells(spark, [(1, 1), (2, "1"), (3, None), (4, 2.5)]), unique=[["k"]])
+    engine.create_view("w", "SELECT k, COUNT(*) AS n, SUM(id) AS s FROM t GROUP BY k")
+    ids = lambda: sorted(r.id for r in engine.base("t").collect())
+    engine.replace("t", cells(spark, [(10, 1.0), (11, None), (12, None)]))  # 1.0 takes the place of 1; NULLs share nothing
+    assert ids() == [2, 3, 4, 10, 11, 12]
+    with pytest.raises(IllegalChange, match="share the unique key"):
+        engine.replace("t", cells(spark, [(20, 7), (21, 7.0)]))
+    engine.refresh("w")
+    assert {(r.k.c, r.n, r.s) for r in engine.table("w").collect()} == {(values.REAL, 1, 10), (values.TEXT, 1, 2), (values.NULL, 3, 26), (values.REAL, 1, 4)}
+    base = engine.base("t")
+    engine.delete("t", base.where("id = 11"))
+    engine.update("t", base.where("id = 4"), base.where("id = 4").withColumn("id", F.lit(40).cast("long")))
+    engine.refresh("w")
+    assert ids() == [2, 3, 10, 12, 40]
+    assert rows_of(engine.table("w")) == rows_of(engine.recompute("w"))
+
+
+def test_state_that_contradicts_itself_is_found(spark):
+    engine = Engine(spark, buckets=1)
+    engine.create_table("t", spark.createDataFrame([("a", 1, 0.5), ("a", 2, None)], T))
+    engine.create_view("w", "SELECT k, SUM(r) AS s, MIN(v) AS lo FROM t GROUP BY k")
+    view = engine.manifest["views"]["w"]
+    paths = view["parts"]["state"]["0"]
+    state = spark.read.schema(spark.read.parquet(*paths).schema).parquet(*paths)
+    for where, message in ((F.col("p") == 0, "values left|fewer rows"), (F.col("p") != 1, None), ((F.col("p") != 0) | F.lit(False), "values left")):
+        kept = state.where(where) if message != "values left|fewer rows" else state.where(F.col("p") != 0)
+        path = engine.store.fresh("tampered") + "/__b=0"
+        kept.write.parquet(path)
+        engine.manifest["views"]["w"]["parts"]["state"]["0"] = [path]
+        engine.manifest["tables"]["t"]["segments"], engine.manifest["tables"]["t"]["next"] = [], 1
+        engine.manifest["views"]["w"]["applied"]["t"] = 0
+        engine.apply("t", spark.createDataFrame([("a", 1, 0.5, -1), ("a", 2, None, -1)], T + f", {W} long"), check=False)
+        if message:
+            with pytest.raises(StateError):
+                engine.refresh("w")
+        else:
+            with pytest.raises(StateError, match="residue|values left"):
+                engine.refresh("w")
 
 
 CELLS = [1, 1.0, "1", b"1", 0.0, -0.0, 2**53 + 1, float(2**53), 2.5, "2.5", " 7 ", "abc", "1e2", None, -3, b"\x00", 9.5e18, "9223372036854775808"]
