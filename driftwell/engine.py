@@ -35,14 +35,16 @@ from driftwell.plans.errors import BrokenView, IllegalChange, StateError, SumOve
 from driftwell.plans.sqlfront import PREFIX, parse_view
 from driftwell.plans.store import Store
 from driftwell.plans.viewspec import FORMAT, Predicate, ViewSpec
-from driftwell.session import partitions_for, slots, stored_bytes, with_package, work_path
+from driftwell.session import input_bytes, slots, stored_bytes, with_package, work_path
 from driftwell.sources import changelog
 
 #: Views refresh_all works on side by side.
 VIEWS_AT_ONCE = 8
 #: Runs of a bucket beyond which they are merged into one.
 MAX_RUNS = 8
-#: Stored bytes up to which the changes of a refresh are broadcast; beyond, Spark chooses.
+#: Stored bytes of a bucket aimed at; state that has grown beyond several times that is cut anew when runs are merged.
+BUCKET_BYTES = 64 << 20
+#: Stored bytes up to which changes are broadcast; beyond, Spark chooses.
 SMALL_DELTA = 8 << 20
 _SUMMABLE = ("int", "bool", "real", "decimal", "text", "blob", "dyn")
 
@@ -118,7 +120,7 @@ def _numeric_condition(column: Column, kind: str, op: str, cls: str, value: obje
 class Engine:
     """Tables and views below *root*, a folder all executors share (by default one that ends with the process).
 
-    *buckets* are those of each table and view made from now on; by default as many as their input has bytes for.
+    *buckets* are those of each table and view made from now on; by default as many as the table or the state has bytes for.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None) -> None:
@@ -157,13 +159,13 @@ class Engine:
         if any(c is None for key in keys for c in key):
             raise UnsupportedView(f"a unique key of {name} names a column it doesn't have")
         hashed = [f.name for f in schema.fields if values.kind_of(f.dataType) != "other"] or schema.fieldNames()
-        meta = {"schema": schema.json(), "unique": keys, "by": keys[0] if keys else hashed, "buckets": self._buckets_for(rows), "snapshot": None, "segments": [], "next": 1, "batches": {}}
+        meta = {"schema": schema.json(), "unique": keys, "by": keys[0] if keys else hashed, "buckets": self._buckets_for(input_bytes(rows) if isinstance(rows, DataFrame) else 0), "snapshot": None, "segments": [], "next": 1, "batches": {}}
         if isinstance(rows, DataFrame):
             meta["snapshot"] = self._snapshot(name, meta, changelog.conform(rows, schema))
         self._commit(lambda m: m["tables"].__setitem__(name, meta))
 
-    def _buckets_for(self, *rows: DataFrame | T.StructType) -> int:
-        return self.buckets or max([partitions_for(r) for r in rows if isinstance(r, DataFrame)], default=slots(self.spark))
+    def _buckets_for(self, size: int) -> int:
+        return self.buckets or max(1, -(-size // BUCKET_BYTES))
 
     def _snapshot(self, name: str, meta: dict, rows: DataFrame) -> dict[str, str]:
         path = self.store.fresh(f"{name}-snapshot")
@@ -207,7 +209,7 @@ class Engine:
             written = changelog.read(self.spark, meta, [path])
             # no more bucket numbers than buckets
             touched = [r[0] for r in written.where(F.col(W) < 0).select(changelog.bucket_of(meta)).distinct().collect()]
-            if touched and changelog.missing_rows(self.spark, meta, written, touched).limit(1).count():
+            if touched and changelog.missing_rows(self.spark, meta, written, touched, stored_bytes(self.spark, path) <= SMALL_DELTA).limit(1).count():
                 self.store.remove(path)
                 raise IllegalChange(f"a change of {known} removes a row that is not there")
 
@@ -301,6 +303,9 @@ class Engine:
 
     def _write_buckets(self, path: str, df: DataFrame, bucket: Column, buckets: int, spread: bool = False) -> dict[str, str]:
         """Write by bucket; gives {bucket: path} of what was written. *spread* lets several tasks write a bucket where there are more tasks."""
+        if buckets == 1:
+            df.write.parquet(f"{path}/__b=0")
+            return {"0": f"{path}/__b=0"} if any(c.endswith(".parquet") for c in self.store.children(f"{path}/__b=0")) else {}
         bucketed = df.withColumn("__b", bucket)
         per = max(1, slots(self.spark) // buckets) if spread else 1
         parts = [F.pmod(F.hash(*[F.col(f"`{c}`") for c in df.columns]), F.lit(per))] if per > 1 else []
@@ -309,7 +314,8 @@ class Engine:
 
     def _append(self, view: dict, name: str, part: str, df: DataFrame, keys: list[Column], spread: bool = False) -> dict[str, str]:
         """Write one run of a part and enter it in *view*; gives {bucket: path}."""
-        made = self._write_buckets(self.store.fresh(f"{name}-{part}"), df, F.pmod(F.xxhash64(*keys), F.lit(view["buckets"])).cast("int"), view["buckets"], spread)
+        n = view["side_buckets" if part in ("left", "right") else "buckets"]
+        made = self._write_buckets(self.store.fresh(f"{name}-{part}"), df, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"), n, spread)
         view["schemas"][part] = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields]).json()
         held = view["parts"].setdefault(part, {})
         for b, p in made.items():
@@ -373,7 +379,10 @@ class Engine:
             return new
         delta = living(layout, partial(layout, rows))
         delta, checked = self._watched(delta, entry_faults(layout) if bootstrap else {})
-        made = self._append(new, name, "state", delta, by("state"), spread=bootstrap)
+        if bootstrap and not self.buckets:
+            made = self._sized(name, new, delta, by("state"))
+        else:
+            made = self._append(new, name, "state", delta, by("state"), spread=bootstrap)
         checked()
         if not made and not bootstrap:
             return new
@@ -395,10 +404,40 @@ class Engine:
         new["changed"] = list(self._append(new, name, "out", change, by("out"), spread=bootstrap).values())
         checked()
         agreed()
+        if self._outgrown(new):
+            many = self._buckets_for(self._state_bytes(new))
+            new["buckets"], old = many, copy.deepcopy(new)
+            for part in ("state", "out"):
+                new["parts"][part] = {}
+                self._append(new, name, part, self._added(part, layout, self._runs(old, part)), by(part), spread=True)
         for part in new["parts"]:
             self._merge_runs(name, new, part, layout, by(part))
         return new
 
+    def _state_bytes(self, view: dict) -> int:
+        return sum(stored_bytes(self.spark, p) for runs in view["parts"]["state"].values() for p in runs)
+
+    def _outgrown(self, view: dict) -> bool:
+        """Whether the state is due for more buckets; looked at only where runs are due to be merged."""
+        due = any(len(runs) > MAX_RUNS for runs in view["parts"]["state"].values())
+        return bool(due and not self.buckets and self._state_bytes(view) > 4 * view["buckets"] * BUCKET_BYTES)
+
+    def _added(self, part: str, layout: Layout, runs: DataFrame) -> DataFrame:
+        return merge(layout, runs) if part == "state" else zset.consolidate(runs)
+
+    def _sized(self, name: str, view: dict, state: DataFrame, keys: list[Column]) -> dict[str, str]:
+        """Write a first state as one bucket, and again as several if it turns out to be large."""
+        view["buckets"] = 1
+        made = self._append(view, name, "state", state, keys, spread=True)
+        view["buckets"] = self._buckets_for(stored_bytes(self.spark, made["0"])) if made else 1
+        if view["buckets"] > 1:
+            view["parts"]["state"] = {}
+            whole = self._read(view, "state", [made["0"]])
+            written = made["0"].rsplit("/", 1)[0]
+            made = self._append(view, name, "state", whole, keys, spread=True)
+            self.store.remove(written)
+        return made
+
     def _change(self, view: dict, spec: ViewSpec, layout: Layout, schemas: list[T.StructType], bootstrap: bool) -> DataFrame | None:
         """Weighted rows of a view over one table that are new to it."""
         if bootstrap:
@@ -445,7 +484,7 @@ class Engine:
             runs = self._runs(view, part, many)
             for b in many:
                 del view["parts"][part][b]
-            self._append(view, name, part, merge(layout, runs) if part == "state" else zset.consolidate(runs), keys, spread=True)
+            self._append(view, name, part, self._added(part, layout, runs), keys, spread=True)
 
     def create_view(self, name: str, sql: str) -> None:
         """Define a view and compute it once from its tables; a failure leaves nothing behind."""
@@ -454,7 +493,7 @@ class Engine:
         if any(n.lower() == name.lower() for n in spec.outputs):
             raise UnsupportedView(f"an output column is named like the view: {name}")
         layout, schemas = self._layout(spec)
-        view = {"sql": sql, "plan": spec.fingerprint(), "format": FORMAT, "buckets": self._buckets_for(*self._bases(spec, layout)), "tables": {t: changelog.fingerprint(s) for t, s in zip(spec.tables, schemas)}, "applied": {}, "parts": {}, "schemas": {}, "changed": []}
+        view = {"sql": sql, "plan": spec.fingerprint(), "format": FORMAT, "buckets": self._buckets_for(0), "side_buckets": self._buckets_for(max(map(input_bytes, self._bases(spec, layout)))), "tables": {t: changelog.fingerprint(s) for t, s in zip(spec.tables, schemas)}, "applied": {}, "parts": {}, "schemas": {}, "changed": []}
         made = self._advance(name, view, spec, layout, schemas, bootstrap=True)
         self._commit(lambda m: m["views"].__setitem__(name, made))
 

@@ -2,6 +2,10 @@
 
 Data files are never changed; a commit writes the next manifest under a temporary name and renames it into place. Until
 that rename nothing has happened, after it everything has, so a failure at any point leaves the last committed state.
+
+Of two writers one commits and the other is told so: local file systems, HDFS and ABFS refuse a rename onto a file that is
+there. Object stores copy instead; there the manifest is created in place, only if absent, and appears whole when it is
+closed. That is safe on stores that write conditionally (for s3a: fs.s3a.create.conditional.enabled); on others use one writer.
 """
 
 from __future__ import annotations
@@ -9,12 +13,15 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from driftwell.plans.errors import StateError
 from driftwell.session import file_system
 
 _PREFIX, _SUFFIX = "manifest-", ".json"
+#: Schemes of file systems whose rename refuses a target that is there.
+_RENAMING = ("file", "hdfs", "viewfs", "abfs", "abfss")
 
 
 class Store:
@@ -59,13 +66,19 @@ class Store:
         target = self._path(f"{_PREFIX}{self.version + 1:012d}{_SUFFIX}")
         if self.fs.exists(target):
             raise StateError("another writer has committed; reopen the engine")
-        draft = self._path(f"draft-{uuid.uuid4().hex}")
-        out = self.fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
-        if not self.fs.rename(draft, target):
+        renames = self.fs.getUri().getScheme() in _RENAMING
+        draft = self._path(f"draft-{uuid.uuid4().hex}") if renames else target
+        try:
+            out = self.fs.create(draft, False)
+            out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+            out.close()
+        except Py4JJavaError as e:
+            if renames:
+                raise
+            raise StateError("another writer has committed; reopen the engine") from e
+        if renames and not self.fs.rename(draft, target):
             self.fs.delete(draft, False)
-            raise StateError("the manifest could not be committed")
+            raise StateError("another writer has committed, or the manifest could not be renamed; reopen the engine")
         self.version += 1
         old = self._path(f"{_PREFIX}{self.version - 5:012d}{_SUFFIX}")
         self.fs.delete(old, False)

@@ -82,12 +82,11 @@ def _row_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != W]))
 
 
-def missing_rows(spark: SparkSession, meta: dict, delta: DataFrame, buckets: list[int] | None = None) -> DataFrame:
-    """Rows whose weight would fall below 0 if *delta*, written data of *buckets*, were applied now."""
-    removed = consolidate(delta).where(F.col(W) < 0)
-    wanted = broadcast_if_small(_row_hash(removed).select("__h").distinct())
-    there = _row_hash(as_of(spark, meta, buckets=buckets)).join(wanted, "__h", "left_semi").drop("__h")
-    return consolidate(union(there, removed)).where(F.col(W) < 0)
+def missing_rows(spark: SparkSession, meta: dict, delta: DataFrame, buckets: list[int] | None = None, few: bool = False) -> DataFrame:
+    """Rows whose weight would fall below 0 if *delta*, written data of *buckets*, were applied now; *few* says it is small enough to broadcast."""
+    removed = _row_hash(delta.where(F.col(W) < 0)).select("__h").distinct()
+    there = _row_hash(union(as_of(spark, meta, buckets=buckets), delta)).join(F.broadcast(removed) if few else removed, "__h", "left_semi").drop("__h")
+    return consolidate(there).where(F.col(W) < 0)
 
 
 def unique_keys(meta: dict, key: list[str], rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Feeding base tables from streams, and views of changes as streams."""
+"""Feeding base tables from streams."""
 
 from __future__ import annotations
 

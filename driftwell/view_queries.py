@@ -16,7 +16,7 @@ from driftwell.engine import Engine
 from driftwell.functions import values
 from driftwell.operators.zset import W, negate, union, weighted
 from driftwell.session import broadcast_if_small, work_path
-from driftwell.sources.tables import table
+from driftwell.sources.tables import day_of, table
 from driftwell.streaming.adapter import capture
 
 BUCKETS = 4
@@ -48,11 +48,11 @@ def _run(spark: SparkSession, tables: dict[str, tuple[DataFrame, Wrong]], sql: s
     batches = {name: _play(engine, name, df, wrong) for name, (df, wrong) in tables.items()}
     engine.create_view("v", sql)
     for name in tables:
-        engine.apply(name, batches[name][0], check=False)
+        engine.apply(name, batches[name][0])
     engine.refresh("v")
     for name in tables:
-        engine.apply(name, batches[name][1], check=False)
-        engine.apply(name, batches[name][2], check=False)
+        engine.apply(name, batches[name][1])
+        engine.apply(name, batches[name][2])
     engine.refresh("v")
     return engine.table("v")
 
@@ -151,7 +151,7 @@ def batch_invariance(spark: SparkSession, d: str) -> DataFrame:
     engine.create_view("by_one", sql)
     engine.create_view("at_once", sql)
     for b in batches:
-        engine.apply("lineitem", b, check=False)
+        engine.apply("lineitem", b)
         engine.refresh("by_one")
     engine.refresh("at_once")
     return engine.table("by_one").intersectAll(engine.table("at_once"))
@@ -166,7 +166,7 @@ def refresh_all(spark: SparkSession, d: str) -> DataFrame:
     engine.create_view("c", "SELECT event_type AS k, COUNT(*) AS n FROM events GROUP BY event_type")
     for name, changes in batches.items():
         for b in changes:
-            engine.apply(name, b, check=False)
+            engine.apply(name, b)
     engine.refresh_all()
     engine.refresh_all("continue")
     return union(*[engine.table(v).withColumn("v", F.lit(v)) for v in "abc"])
@@ -183,19 +183,92 @@ def replace_capture(spark: SparkSession, d: str) -> DataFrame:
     return engine.table("v")
 
 
+def replace_dynamic(spark: SparkSession, d: str) -> DataFrame:
+    """Cells replaced by a dynamic unique key: 1.0 takes the place of 1, '1' stands beside it, and rows without key all stay."""
+    events = table(spark, d, "events").select("event_id")
+    n, none = F.col("event_id"), values.int_cell(F.lit(None).cast("bigint"))
+    whole = lambda x: F.when(n % 4 < 2, values.int_cell(n)).when(n % 4 == 2, values.text_cell(n.cast("string"))).otherwise(x)
+    real = F.when(n % 4 == 0, values.real_cell(n.cast("double"))).when(n % 4 == 2, values.int_cell(n)).otherwise(none)
+    engine = Engine(spark, buckets=BUCKETS)
+    engine.create_table("cells", events.select(whole(none).alias("k"), F.lit("first").alias("came")), unique=[["k"]])
+    engine.create_view("v", "SELECT came, COUNT(*) AS n, COUNT(k) AS n_keys FROM cells GROUP BY came")
+    engine.replace("cells", events.where(n % 2 == 0).select(real.alias("k"), F.lit("second").alias("came")))
+    engine.refresh("v")
+    engine.delete("cells", engine.base("cells").where(F.col("k.c") == values.TEXT))
+    engine.refresh("v")
+    return engine.table("v")
+
+
+def sum_cancels(spark: SparkSession, d: str) -> DataFrame:
+    """Large doubles that cancel leave the exact sum of the small ones, unrounded; adding up in doubles would lose it."""
+    events = table(spark, d, "events")
+    large, small = F.col("user_id") * F.lit(2.0**70), F.floor(F.col("value") * 1024) / F.lit(1024.0)
+    rows = union(*[events.select("event_id", F.lit(i).alias("part"), "event_type", x.alias("x")) for i, x in enumerate((large, small, -large))])
+    return _run(spark, {"parts": (rows, {"x": "x * 3"})}, "SELECT event_type, SUM(x) AS s, TOTAL(x) AS t FROM parts GROUP BY event_type")
+
+
+def blob_literal(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey", F.encode("o_orderpriority", "UTF-8").alias("b"))
+    return _run(spark, {"blobs": (orders, {"b": "unhex('FF')"})}, "SELECT b, COUNT(*) AS n FROM blobs WHERE b >= X'33' GROUP BY b").withColumn("b", F.decode("b", "UTF-8"))
+
+
+def facts_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements by kind and day, as a monitoring table is rolled up."""
+    facts = table(spark, d, "events").select("event_id", "event_type", day_of("ts").alias("day"), "value")
+    view = _run(spark, {"facts": (facts, {"value": "value + 1e12D", "day": "'?'"})}, "SELECT event_type, day, AVG(value) AS mean, MIN(value) AS lo, MAX(value) AS hi, COUNT(*) AS n FROM facts GROUP BY event_type, day")
+    return view.withColumn("mean", F.round("mean", 6))
+
+
+def open_lots(spark: SparkSession, d: str) -> DataFrame:
+    """A join under IS NULL with a key that can be NULL: bids on auctions that were not deleted, by channel."""
+    bid = table(spark, d, "bid").select("bid_id", "auction", "channel", "price", "ingest_time")
+    lots = table(spark, d, "auction").select("id", "category", "deleted_at", "ingest_time")
+    sql = "SELECT channel, COUNT(*) AS n, COUNT(price) AS n_priced, MAX(price) AS hi FROM bid JOIN auction ON bid.auction = auction.id WHERE deleted_at IS NULL GROUP BY channel"
+    return _run(spark, {"bid": (bid, {"channel": "'?'", "auction": "auction + 1"}), "auction": (lots, {"deleted_at": "TIMESTAMP '2000-01-01'"})}, sql)
+
+
+def session_spans(spark: SparkSession, d: str) -> DataFrame:
+    """First and last click and clicks of each user."""
+    return _run(spark, {"events": (table(spark, d, "events"), _EVENTS)}, "SELECT user_id, MIN(ts) AS first_ts, MAX(ts) AS last_ts, COUNT(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id")
+
+
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and counts by repository and language, both of which can be NULL."""
+    docs = table(spark, d, "documents").select("doc_id", "repo", "lang", "n_chars", "n_files")
+    return _run(spark, {"docs": (docs, {"n_chars": "n_chars * -7", "lang": "'?'"})}, "SELECT repo, lang, COUNT(*) AS n, SUM(n_chars) AS chars, SUM(n_files) AS files FROM docs WHERE n_chars >= 200 GROUP BY repo, lang")
+
+
+def join_maintenance(spark: SparkSession, d: str) -> DataFrame:
+    """A join with several rows a key on one side, kept up through changes of either side and of both at once."""
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    sql = "SELECT o_orderpriority, COUNT(*) AS n, SUM(l_partkey) AS parts, SUM(l_linenumber) AS numbers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority"
+    engine = Engine(spark, buckets=BUCKETS)
+    left, right = _play(engine, "lineitem", items, {"l_orderkey": "l_orderkey + 1", "l_partkey": "-l_partkey"}), _play(engine, "orders", orders, _ORDERS | {"o_orderpriority": "'?'"})
+    engine.create_view("v", sql)
+    engine.apply("lineitem", left[0])
+    engine.refresh("v")
+    engine.apply("orders", right[0])
+    engine.refresh("v")
+    for name, batches in (("lineitem", left), ("orders", right)):
+        for b in batches[1:]:
+            engine.apply(name, b)
+    engine.refresh("v")
+    return engine.table("v")
+
+
 def gc_resume(spark: SparkSession, d: str) -> DataFrame:
     """The applied log is folded away and an engine reopened on the same folder goes on."""
     root = work_path(spark, "resumed")
     engine = Engine(spark, root, buckets=BUCKETS)
     batches = _play(engine, "orders", table(spark, d, "orders"), _ORDERS)
     engine.create_view("v", "SELECT o_orderpriority, COUNT(*) AS n, MIN(o_totalprice) AS lo, MAX(o_orderkey) AS hi FROM orders GROUP BY o_orderpriority")
-    engine.apply("orders", batches[0], check=False)
+    engine.apply("orders", batches[0])
     engine.refresh("v")
     engine.compact("orders")
     engine.vacuum()
     again = Engine(spark, root)
     for b in batches[1:]:
-        again.apply("orders", b, check=False)
+        again.apply("orders", b)
     again.refresh("v")
     return again.table("v")
 
@@ -254,7 +327,7 @@ def m0_views(spark: SparkSession, d: str) -> DataFrame:
     for limit in (0, 50, 100):
         engine.create_view(f"above_{limit}", f"SELECT region, SUM(amount) AS s, COUNT(*) AS n FROM orders WHERE amount > {limit} GROUP BY region")
     for b in batches:
-        engine.apply("orders", b, check=False)
+        engine.apply("orders", b)
     engine.refresh_all()
     return union(*[engine.table(f"above_{x}").withColumn("above", F.lit(x).cast("bigint")) for x in (0, 50, 100)])
 
@@ -302,8 +375,8 @@ def net_nothing(spark: SparkSession, d: str) -> DataFrame:
     engine.create_table("orders", orders)
     engine.create_view("v", "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus")
     passing = weighted(orders.withColumn("o_orderstatus", F.lit("?")))
-    engine.apply("orders", passing, check=False)
-    engine.apply("orders", negate(passing), check=False)
+    engine.apply("orders", passing)
+    engine.apply("orders", negate(passing))
     first, second = engine.refresh("v"), engine.refresh("v")
     return engine.table("v").withColumn("refreshed", F.lit(first)).withColumn("again", F.lit(second))
 
@@ -350,6 +423,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_invariance": _rounded(batch_invariance, s=2),
     "refresh_all": refresh_all,
     "replace_capture": replace_capture,
+    "replace_dynamic": replace_dynamic,
+    "sum_cancels": sum_cancels,
+    "blob_literal": blob_literal,
+    "facts_by_day": facts_by_day,
+    "open_lots": open_lots,
+    "session_spans": session_spans,
+    "usage_totals": usage_totals,
+    "join_maintenance": join_maintenance,
+    "filter_ne_nulls": _nulls("SELECT event_type, COUNT(*) AS n, COUNT(user_id) AS c FROM events_n WHERE user_id <> 8 GROUP BY event_type"),
     "gc_resume": gc_resume,
     "last_changes": last_changes,
     "dynamic_keys": dynamic_keys,
@@ -400,4 +482,13 @@ SQL: dict[str, str] = {
     "stream_capture": "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1",
     "consolidate": "SELECT *, CAST(1 AS BIGINT) AS w FROM nation",
     "net_nothing": "SELECT o_orderstatus, count(*) AS n, true AS refreshed, false AS again FROM orders GROUP BY 1",
+    "replace_dynamic": "SELECT 'first' AS came, count(*) AS n, count(CASE WHEN event_id % 4 = 1 THEN 1 END) AS n_keys FROM events WHERE event_id % 4 IN (1, 3) UNION ALL SELECT 'second', count(*), count(*) FROM events WHERE event_id % 2 = 0",
+    "sum_cancels": "SELECT event_type, sum(floor(value * 1024)) / 1024.0 AS s, sum(floor(value * 1024)) / 1024.0 AS t FROM events GROUP BY 1",
+    "blob_literal": "SELECT o_orderpriority AS b, count(*) AS n FROM orders WHERE encode(o_orderpriority) >= '\\x33'::BLOB GROUP BY 1",
+    "facts_by_day": "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi, count(*) AS n FROM events GROUP BY 1, 2",
+    "open_lots": "SELECT channel, count(*) AS n, count(price) AS n_priced, max(price) AS hi FROM bid JOIN auction ON bid.auction = auction.id WHERE deleted_at IS NULL GROUP BY 1",
+    "session_spans": "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1",
+    "usage_totals": "SELECT repo, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(n_files) AS BIGINT) AS files FROM documents WHERE n_chars >= 200 GROUP BY 1, 2",
+    "join_maintenance": "SELECT o_orderpriority, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "filter_ne_nulls": f"SELECT event_type, count(*) AS n, count(user_id) AS c FROM {_NULLS} WHERE user_id <> 8 GROUP BY 1",
 }

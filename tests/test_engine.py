@@ -413,3 +413,22 @@ def test_statements(spark):
     engine.sql("DROP MATERIALIZED VIEW m")
     engine.sql("DROP TABLE w;")
     assert engine.manifest["views"] == {}
+
+
+@pytest.mark.parametrize("renaming", [True, False])
+def test_of_two_writers_one_commits(spark, monkeypatch, tmp_path, renaming):
+    from driftwell.plans import store
+
+    if not renaming:
+        monkeypatch.setattr(store, "_RENAMING", ())
+    one, two = (store.Store(spark, f"file://{tmp_path}") for _ in range(2))
+    one.load(), two.load()
+    one.commit({"tables": {}, "views": {}, "by": 1})
+    with pytest.raises(StateError, match="another writer"):
+        two.commit({"tables": {}, "views": {}, "by": 2})
+    if renaming:  # the other writer wins between the look and the rename
+        real, looks = two.fs, iter([False])
+        two.fs = type("Blind", (), {"exists": lambda self, p: next(looks, True), "__getattr__": lambda self, n: getattr(real, n)})()
+        with pytest.raises(StateError, match="another writer"):
+            two.commit({"tables": {}, "views": {}, "by": 2})
+    assert store.Store(spark, f"file://{tmp_path}").load()["by"] == 1
