@@ -14,7 +14,7 @@ means of large sums, reach Python.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,17 +43,22 @@ def mantissa(x: Column, e: Column) -> Column:
     return (whole.cast("decimal(20,0)") * up.cast("decimal(11,0)")).cast("decimal(31,0)")
 
 
-def quick(whole: Column, buckets: Column) -> Column:
-    """(integer sum + bucket sums) rounded once where that can be done in the JVM, else NULL. *buckets*: sorted array of (k, m)."""
-    first, second = F.get(buckets, F.lit(0)), F.get(buckets, F.lit(1))
-    n = F.size(buckets)
+def with_quick(df: DataFrame, name: str, whole: str, buckets: str) -> DataFrame:
+    """*df* with *name*: (integer sum + bucket sums) rounded once where that can be done in the JVM, else NULL.
+
+    *buckets* is a sorted array of (k, m). The steps are columns of their own, so that no expression is repeated in the plan.
+    """
+    at, n = F.col(buckets), F.size(buckets)
+    first, second = F.get(at, F.lit(0)), F.get(at, F.lit(1))
     both = F.try_add(F.try_multiply(second["m"], F.lit(1 << WIDTH).cast("decimal(10,0)")), first["m"])
     one = F.when(n == 1, first["m"]).when((n == 2) & (second["k"] - first["k"] == WIDTH), both)
     shift = first["k"] - 53
     half = F.floor(shift / 2).cast("int")
-    value = one.cast("double") * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (shift - half).cast("double"))
-    plain = (one == 0) | ((F.abs(value) > F.lit(2.0**-1000)) & (F.abs(value) < F.lit(float("inf"))))
-    return F.when(n == 0, whole.cast("double")).when((whole == 0) & plain, value)
+    held, value = F.col("__one"), F.col("__value")
+    scaled = held.cast("double") * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (shift - half).cast("double"))
+    plain = (held == 0) | ((F.abs(value) > F.lit(2.0**-1000)) & (F.abs(value) < F.lit(float("inf"))))
+    found = F.when(n == 0, F.col(whole).cast("double")).when((F.col(whole) == 0) & plain, value)
+    return df.withColumn("__one", one).withColumn("__value", scaled).withColumn(name, found).drop("__one", "__value")
 
 
 def _ratio(numerator: int, shift: int, count: int) -> float:

@@ -180,7 +180,7 @@ def _output(layout: Layout, a: Aggregate) -> Column:
     if j in layout.real:
         infinite = F.when((F.col(f"c{j}_pos") > 0) & (F.col(f"c{j}_neg") > 0), none).when(F.col(f"c{j}_pos") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
         finite = (F.col(f"c{j}_pos") == 0) & (F.col(f"c{j}_neg") == 0)
-        buckets, at_once = F.col(f"buckets{j}"), exact.quick(whole, F.col(f"buckets{j}"))
+        buckets, at_once = F.col(f"buckets{j}"), F.col(f"quick{j}")
         slow = lambda count: exact.rounded(whole, buckets["k"], buckets["m"], count)
         real = lambda count: F.when(finite, F.coalesce(at_once, slow(F.when(at_once.isNull(), count))) if count is one else slow(count)).otherwise(infinite)
     else:
@@ -220,7 +220,10 @@ def finalize(layout: Layout, state: DataFrame, beside: tuple[str, ...] = ()) ->
 
     def output(groups: DataFrame) -> DataFrame:
         keys = [values.key_output(F.col(k), kind, F.col(f"{k}_real") if kind == "dyn" else F.lit(0)).alias(name) for k, kind, (_, name) in zip(layout.keys, layout.key_kinds, layout.spec.keys)]
-        return groups.where(F.col("rows") > 0).select(*beside, *keys, *[_output(layout, a).alias(a.output) for a in layout.spec.aggregates])
+        groups = groups.where(F.col("rows") > 0)
+        for j in layout.real:
+            groups = exact.with_quick(groups, f"quick{j}", f"c{j}_int", f"buckets{j}")
+        return groups.select(*beside, *keys, *[_output(layout, a).alias(a.output) for a in layout.spec.aggregates])
 
     return grouped, output
 

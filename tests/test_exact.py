@@ -19,7 +19,8 @@ def engine_sum(spark, xs, count=None):
     parts = bucketed(spark, xs).where("k is not null").groupBy("k").agg(F.sum("m").cast("decimal(38,0)").alias("m"))
     one = parts.agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("b"))
     none = F.lit(None).cast("decimal(38,0)")
-    row = one.select(exact.rounded(none, F.col("b.k"), F.col("b.m"), F.lit(count or 1).cast("long")).alias("r"), exact.quick(F.lit(0).cast("decimal(38,0)"), F.col("b")).alias("q")).first()
+    one = exact.with_quick(one.withColumn("w", F.lit(0).cast("decimal(38,0)")), "q", "w", "b")
+    row = one.select(exact.rounded(none, F.col("b.k"), F.col("b.m"), F.lit(count or 1).cast("long")).alias("r"), "q").first()
     assert count or row.q is None or row.q == row.r  # where the JVM rounds, it rounds the same
     return row.r
 
@@ -62,7 +63,7 @@ def test_like_sized_values_are_rounded_in_the_jvm(spark, seed):
     rows = [(g, rng.choice([1, -1]) * rng.uniform(0.01, 1e5)) for g in range(40) for _ in range(rng.randrange(1, 60))] + [(100, 2.0**31 * 1.1), (100, 2.0**33 * 1.7), (101, 5e-324), (102, 1e300), (102, 1e-300)]
     df = spark.createDataFrame(rows, "g int, x double").withColumn("e", exact.exponent(F.col("x"))).withColumn("k", exact.bucket(F.col("e"))).withColumn("m", exact.mantissa(F.col("x"), F.col("e")))
     parts = df.groupBy("g", "k").agg(F.sum("m").cast("decimal(38,0)").alias("m")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("b"))
-    got = {r.g: r.q for r in parts.select("g", exact.quick(F.lit(0).cast("decimal(38,0)"), F.col("b")).alias("q")).collect()}
+    got = {r.g: r.q for r in exact.with_quick(parts.withColumn("w", F.lit(0).cast("decimal(38,0)")), "q", "w", "b").collect()}
     assert got[101] is None and got[102] is None
     for g in set(got) - {101, 102}:
         assert got[g] == float(sum(Fraction(x) for h, x in rows if h == g))
